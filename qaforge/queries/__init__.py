@@ -1,0 +1,12 @@
+"""Driver queries, one module per family."""
+
+from importlib import import_module
+
+MODULES = ["text_queries", "label_queries"]
+
+
+def load():
+    """Import all families and return the module that holds the registry."""
+    for name in MODULES:
+        import_module(f"qaforge.queries.{name}")
+    return import_module("qaforge.queries.base")
