@@ -53,18 +53,28 @@ def hits(lowered: Column, cues: Sequence[str]) -> Column:
 
 def first_match(lowered: Column, rules: Mapping[str, Sequence[str]], default: str | Column) -> Column:
     """Label of the first rule with a cue in the text."""
-    out = F
-    for label, cues in rules.items():
-        out = out.when(has_any(lowered, cues), F.lit(label))
-    return out.otherwise(F.lit(default) if isinstance(default, str) else default)
 
+    def branches(t: Column) -> Column:
+        out = F
+        for label, cues in rules.items():
+            out = out.when(has_any(t, cues), F.lit(label))
+        return out.otherwise(F.lit(default) if isinstance(default, str) else default)
+
+    return let(lowered, branches)
+
+
+def best_label(lowered: Column, rules: Mapping[str, Sequence[str]], default: str | Column, score=hits) -> Column:
+    """Label whose cues score highest; the earlier label wins a tie, the default if no cue occurs.
+
+    The text is lower-cased once and every cue is searched once, whatever the expression is nested in.
+    """
+
+    def pick(row: Column) -> Column:
+        top = F.array_max(row)
+        winner = F.element_at(texts(list(rules)), F.array_position(row, top).cast("int"))
+        return F.when(top > 0, winner).otherwise(F.lit(default) if isinstance(default, str) else default)
 
-def best_label(scores: Mapping[str, Column], default: str | Column) -> Column:
-    """Label with the highest positive score; the earlier label wins a tie."""
-    row = F.array(*[s.cast("int") for s in scores.values()])
-    top = F.array_max(row)
-    winner = F.element_at(texts(list(scores)), F.array_position(row, top).cast("int"))
-    return F.when(top > 0, winner).otherwise(F.lit(default) if isinstance(default, str) else default)
+    return let(lowered, lambda t: let(F.array(*[score(t, cues) for cues in rules.values()]), pick))
 
 
 def lookup(key: Column, table: Mapping[str, str], default: str | Column | None = None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaforge.functions.common import (
-    best_label, first_match, has_any, hits, let, lookup, strip, texts, words,
+    SPACE, best_label, first_match, has_any, hits, let, lookup, strip, texts, words,
 )
 from qaforge.rules import lexicons as R
 
@@ -20,8 +20,11 @@ from qaforge.rules import lexicons as R
 def keywords(col: Column, mode: str = "word") -> Column:
     """Lower-cased tokens: alphabetic words over three letters, plain split, or runs of four ASCII letters."""
     if mode == "word":
-        bare = F.transform(words(F.lower(col)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-        return F.filter(bare, lambda w: (F.length(w) > 3) & w.rlike(r"^\p{L}+$"))
+        # A whole white-space separated piece: letters, with nothing but punctuation around them.
+        mark = rf"[^\p{{L}}\p{{N}}{SPACE}]*"
+        return F.regexp_extract_all(
+            F.lower(col), F.lit(rf"(?<![^{SPACE}]){mark}(\p{{L}}{{4,}}){mark}(?![^{SPACE}])"), F.lit(1)
+        )
     if mode == "space":
         return words(F.lower(col))
     if mode == "regex4":
@@ -97,10 +100,13 @@ def _generic(kw: Column) -> Column:
 def topics(kw: Column, context: Column | str | None = None) -> Column:
     """All topics present as whole keywords, in table order, plus the generic three for product-like words."""
     ctx = _context(context)
-    found = F.array_intersect(texts(list(R.TOPIC_TONES)), kw)
-    found = F.when(_generic(kw), F.array_union(found, texts(R.GENERIC_TOPICS))).otherwise(found)
     fallback = F.when(F.coalesce(ctx, F.lit("")) != "", F.array(ctx)).otherwise(texts(["general"]))
-    return let(found, lambda t: F.when(F.size(t) > 0, t).otherwise(fallback))
+
+    def found(k: Column) -> Column:
+        own = F.array_intersect(texts(list(R.TOPIC_TONES)), k)
+        return F.when(_generic(k), F.array_union(own, texts(R.GENERIC_TOPICS))).otherwise(own)
+
+    return let(kw, lambda k: let(found(k), lambda t: F.when(F.size(t) > 0, t).otherwise(fallback)))
 
 
 def _persona_test(kw: Column, ctx: Column, persona: str) -> Column:
@@ -112,18 +118,27 @@ def _persona_test(kw: Column, ctx: Column, persona: str) -> Column:
 def personas(kw: Column, context: Column | str | None = None) -> Column:
     """All personas whose rule fires, in rule order, plus the generic three for product-like words."""
     ctx = _context(context)
-    found = F.array_compact(F.array(*[F.when(_persona_test(kw, ctx, p), F.lit(p)) for p in R.PERSONA_RULES]))
-    found = F.when(_generic(kw), F.array_union(found, texts(R.GENERIC_PERSONAS))).otherwise(found)
-    return let(found, lambda p: F.when(F.size(p) > 0, p).otherwise(texts(["helpful assistant"])))
+
+    def found(k: Column) -> Column:
+        own = F.array_compact(F.array(*[F.when(_persona_test(k, ctx, p), F.lit(p)) for p in R.PERSONA_RULES]))
+        return F.when(_generic(k), F.array_union(own, texts(R.GENERIC_PERSONAS))).otherwise(own)
+
+    return let(
+        kw, lambda k: let(found(k), lambda p: F.when(F.size(p) > 0, p).otherwise(texts(["helpful assistant"])))
+    )
 
 
 def persona_single(kw: Column, context: Column | str | None = None) -> Column:
     """First of the four older persona rules that fires."""
     ctx = _context(context)
-    out = F
-    for p in R.SINGLE_PERSONAS:
-        out = out.when(_persona_test(kw, ctx, p), F.lit(p))
-    return out.otherwise("helpful assistant")
+
+    def branches(k: Column) -> Column:
+        out = F
+        for p in R.SINGLE_PERSONAS:
+            out = out.when(_persona_test(k, ctx, p), F.lit(p))
+        return out.otherwise("helpful assistant")
+
+    return let(kw, branches)
 
 
 def topic_single(kw: Column, context: Column | str | None = None) -> Column:
@@ -190,21 +205,21 @@ def rank_persona_topic(
 
 def intent6(col: Column) -> Column:
     """Six-way intent; information when nothing matches."""
-    return best_label({k: hits(F.lower(col), v) for k, v in R.INTENT6.items()}, "information")
+    return best_label(F.lower(col), R.INTENT6, "information")
 
 
 def intent4(col: Column) -> Column:
     """Four-way intent; information when nothing matches."""
-    return best_label({k: hits(F.lower(col), v) for k, v in R.INTENT4.items()}, "information")
+    return best_label(F.lower(col), R.INTENT4, "information")
 
 
 def domain5(col: Column) -> Column:
     """Five-way domain; product when nothing matches."""
-    return best_label({k: hits(F.lower(col), v) for k, v in R.DOMAIN5.items()}, "product")
+    return best_label(F.lower(col), R.DOMAIN5, "product")
 
 
 def industry_label(col: Column) -> Column:
-    return best_label({k: hits(F.lower(col), v) for k, v in R.INDUSTRY8.items()}, "general")
+    return best_label(F.lower(col), R.INDUSTRY8, "general")
 
 
 def _industry_info(label: Column) -> tuple[Column, Column]:
@@ -241,11 +256,15 @@ def industry_first(col: Column) -> Column:
 
 def page_context_first(url: Column, html: Column) -> Column:
     """First context hit by the address or by the page; support when none is."""
-    u, h = F.lower(url), F.coalesce(F.lower(html), F.lit(""))
-    out = F
-    for label, cues in R.CONTEXTS.items():
-        out = out.when(has_any(u, cues) | has_any(h, cues), F.lit(label))
-    return out.otherwise("support")
+
+    def branches(b: Column) -> Column:
+        out = F
+        for label, cues in R.CONTEXTS.items():
+            out = out.when(has_any(b["u"], cues) | has_any(b["h"], cues), F.lit(label))
+        return out.otherwise("support")
+
+    bound = F.struct(F.lower(url).alias("u"), F.coalesce(F.lower(html), F.lit("")).alias("h"))
+    return let(bound, branches)
 
 
 def occurrences(lowered: Column, cue: str) -> Column:
@@ -256,14 +275,15 @@ def occurrences(lowered: Column, cue: str) -> Column:
 
 def page_context_counted(url: Column, text: Column) -> Column:
     """Address first; else the context whose words occur most often in the text; general when none does."""
-    t = F.coalesce(F.lower(text), F.lit(""))
-    scores = {}
-    for label, cues in R.CONTEXTS.items():
-        total = occurrences(t, cues[0])
+
+    def total(t: Column, cues: Sequence[str]) -> Column:
+        out = occurrences(t, cues[0])
         for cue in cues[1:]:
-            total = total + occurrences(t, cue)
-        scores[label] = total
-    return first_match(F.lower(url), R.CONTEXTS, best_label(scores, "general"))
+            out = out + occurrences(t, cue)
+        return out
+
+    by_text = best_label(F.coalesce(F.lower(text), F.lit("")), R.CONTEXTS, "general", total)
+    return first_match(F.lower(url), R.CONTEXTS, by_text)
 
 
 def context_message(context: Column) -> Column:
@@ -313,7 +333,6 @@ def guess_touchpoint(col: Column) -> Column:
 def energy(col: Column, cues: Sequence[str] = tuple(R.ENERGY_WORDS)) -> Column:
     """struct(level, score): exclamation marks plus distinct energy words; an empty text is medium, 0."""
     text = F.coalesce(col, F.lit(""))
-    score = F.regexp_count(text, F.lit("!")) + hits(F.lower(text), list(cues))
 
     def level(s: Column) -> Column:
         empty = text == ""
@@ -322,7 +341,8 @@ def energy(col: Column, cues: Sequence[str] = tuple(R.ENERGY_WORDS)) -> Column:
             F.when(empty, 0).otherwise(s).alias("score"),
         )
 
-    return let(score, level)
+    marks = F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))
+    return let(F.lower(text), lambda low: let(marks + hits(low, list(cues)), level))
 
 
 def energy_binary(col: Column) -> Column:
@@ -367,55 +387,63 @@ def complexity(col: Column, version: str = "current", technical: Sequence[str] =
     version before it; `words_logic` has no technical words; `letters_terms` only counts letters and terms
     (its larger word list is the caller's to pass).
     """
+    if version not in ("current", "words_logic_terms", "words_logic", "letters_terms"):
+        raise ValueError(f"unknown complexity version: {version}")
     text = strip(F.coalesce(col, F.lit(""))) if version == "current" else F.coalesce(col, F.lit(""))
 
     def decide(b: Column) -> Column:
-        t, w, tech, runs = b["t"], b["w"], b["tech"], b["runs"]
-        n, n_words = F.length(t), F.size(w)
-        logic = has_any(F.lower(t), R.LOGIC_WORDS)
-        distinct = F.size(F.array_distinct(w))
+        n, tech, runs = b["n"], b["tech"], b["runs"]
+        n_words, distinct, logic = b["words"], b["distinct"], b["logic"]
         if version == "current":
-            marks = t.rlike(r"\d|[;:()]")
             score = (
                 ((n > 160) | (n_words > 28)).cast("int")
                 + (distinct / n_words < 0.65).cast("int")
                 + logic.cast("int")
-                + marks.cast("int")
+                + b["marks"].cast("int")
                 + F.when(tech >= 3, 2).when(tech > 0, 1).otherwise(0)
             )
             plain = (n < 45) & (tech == 0) & ~logic
-            return F.when((n_words == 0) | plain, "low").when(score >= 4, "high").when(score >= 2, "medium").otherwise("low")
-        if version in ("words_logic_terms", "words_logic"):
-            score = (
-                ((n > 120) | (n_words > 20)).cast("int")
-                + (distinct / (n_words + F.lit(1e-6)) < 0.7).cast("int")
-                + logic.cast("int")
-            )
-            graded = F.when(score >= 2, "high").when(score == 1, "medium").otherwise("low")
-            if version == "words_logic":
-                return F.when(t == "", "low").otherwise(graded)
-            score = score + ((runs > 15) | (tech >= 3)).cast("int")
-            graded = F.when(score >= 2, "high").when(score == 1, "medium").otherwise("low")
-            plain = (n < 40) & (runs < 5) & (tech == 0) & ~logic
-            return F.when((t == "") | plain, "low").otherwise(graded)
+            graded = F.when(score >= 4, "high").when(score >= 2, "medium").otherwise("low")
+            return F.when((n_words == 0) | plain, "low").otherwise(graded)
         if version == "letters_terms":
             return (
                 F.when((n < 40) & (runs < 5) & (tech == 0), "low")
                 .when((n < 120) & (runs < 15) & (tech < 3), "medium")
                 .otherwise("high")
             )
-        raise ValueError(f"unknown complexity version: {version}")
-
-    def with_text(t: Column) -> Column:
-        bound = F.struct(
-            t.alias("t"),
-            words(t).alias("w"),
-            technical_hits(t, technical).alias("tech"),
-            F.regexp_count(t, F.lit("[a-zA-Z]{4,}")).alias("runs"),
+        score = (
+            ((n > 120) | (n_words > 20)).cast("int")
+            + (distinct / (n_words + F.lit(1e-6)) < 0.7).cast("int")
+            + logic.cast("int")
         )
-        return let(bound, decide)
+        if version == "words_logic":
+            low = n == 0
+        else:
+            score = score + ((runs > 15) | (tech >= 3)).cast("int")
+            low = (n == 0) | ((n < 40) & (runs < 5) & (tech == 0) & ~logic)
+        graded = let(score, lambda s: F.when(s >= 2, "high").when(s == 1, "medium").otherwise("low"))
+        return F.when(low, "low").otherwise(graded)
+
+    def measure(t: Column) -> Column:
+        fields = {"n": F.length(t)}
+        if version != "letters_terms":
+            fields["logic"] = let(F.lower(t), lambda low: has_any(low, R.LOGIC_WORDS))
+        if version == "current":
+            fields["marks"] = t.rlike(r"\d|[;:()]")
+        if version != "words_logic":
+            fields["tech"] = technical_hits(t, technical)
+        if version in ("words_logic_terms", "letters_terms"):
+            fields["runs"] = F.regexp_count(t, F.lit("[a-zA-Z]{4,}"))
+
+        def counted(w: Column) -> Column:
+            sizes = {"words": F.size(w), "distinct": F.size(F.array_distinct(w))}
+            return F.struct(*[c.alias(k) for k, c in {**fields, **sizes}.items()])
+
+        if version == "letters_terms":
+            return F.struct(*[c.alias(k) for k, c in fields.items()])
+        return let(words(t), counted)
 
-    return let(text, with_text)
+    return let(text, lambda t: let(measure(t), decide))
 
 
 def operational_context(domains: Column, newest: bool = False) -> Column:

@@ -23,8 +23,8 @@ def clean_text(col: Column) -> Column:
     """Drop stray marks and reference brackets, squeeze white space."""
     out = F.regexp_replace(col, "[¶Â]|<\\[\\d+\\]", "")
     out = F.regexp_replace(out, f"{WS}+", " ")
-    out = F.regexp_replace(out, r"\[[^\]\n]*\]", " ")
-    return strip(out)
+    # Only plain spaces are left as white space here.
+    return F.trim(F.regexp_replace(out, r"\[[^\]\n]*\]", " "))
 
 
 def clean_text_numbered(
@@ -42,7 +42,7 @@ def clean_text_numbered(
         out = F.regexp_replace(out, r"(?i)^q(?:[ .:;\-)]+\d*|\d+)\.? *", "")
     out = F.regexp_replace(out, r"^\d+\. *", "")
     out = F.regexp_replace(out, r" +\d+\. *$", "")
-    out = F.regexp_replace(strip(out), r"\[[^\]\n]*\]", " ")
+    out = F.regexp_replace(F.trim(out), r"\[[^\]\n]*\]", " ")
     if contractions:
         out = expand_contractions(out, contractions)
     return strip(dedupe_sentences(out))

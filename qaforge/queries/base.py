@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qaforge.functions.common import SPACE, texts
+from qaforge.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,7 +150,7 @@ def cue_sql(id_col: str, cues: Sequence[str], step: int = 1) -> str:
 
 def prompts(spark: SparkSession, sf_dir: str, cues: Sequence[str]) -> DataFrame:
     """(id, n, text): every document followed by two cue words, and a short prompt per event."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("n"),
         F.concat_ws(" ", "text", cue(F.col("doc_id"), cues), cue(F.col("doc_id"), cues, 7)).alias("text"),
     )
