@@ -179,7 +179,15 @@ def _points(who, rules):
 _order_p = "CASE who " + " ".join(f"WHEN {lit(v)} THEN {i}" for i, v in enumerate(R.PERSONA_ORDER)) + " ELSE 999 END"
 _order_t = "CASE who " + " ".join(f"WHEN {lit(v)} THEN {i}" for i, v in enumerate(R.TOPIC_ORDER)) + " ELSE 999 END"
 RANK_CUES = PERSONA_CUES + [w for _, _, cues, _ in R.PERSONA_SCORES + R.TOPIC_SCORES for w in cues]
-RANK_CTE = f"""{prompts_cte(RANK_CUES)}, {KW_CTE.format(kw=keywords_sql('text'), ctx=_ctx_sql())}, {PERSONAS_CTE},
+
+
+def rank_cte(with_context_words: bool = False) -> str:
+    """Best persona and topic per prompt; optionally the words of the context count as keywords."""
+    kw = keywords_sql("text")
+    if with_context_words:
+        own = f"CASE {_ctx_sql()} " + " ".join(f"WHEN {lit(k)} THEN {arr(v)}" for k, v in R.CONTEXTS.items()) + " ELSE CAST([] AS VARCHAR[]) END"
+        kw = f"list_distinct(list_concat({kw}, {own}))"
+    return f"""{prompts_cte(RANK_CUES)}, {KW_CTE.format(kw=kw, ctx=_ctx_sql())}, {PERSONAS_CTE},
     tf AS (SELECT id, {_topics_found} AS found, {_generic} AS generic, ctx FROM kw),
     tg AS (SELECT id, ctx, CASE WHEN generic THEN list_concat(found, list_filter({arr(R.GENERIC_TOPICS)}, lambda x: NOT list_contains(found, x))) ELSE found END AS found FROM tf),
     tt AS (SELECT id, CASE WHEN len(found) > 0 THEN found WHEN ctx <> '' THEN [ctx] ELSE ['general'] END AS topics FROM tg),
@@ -191,7 +199,7 @@ RANK_CTE = f"""{prompts_cte(RANK_CUES)}, {KW_CTE.format(kw=keywords_sql('text'),
     ranked AS (SELECT pr.id, persona, topic FROM pr JOIN tr ON pr.id = tr.id)"""
 
 
-@query("rank_persona_topic", f"WITH {RANK_CTE} SELECT id, persona, topic FROM ranked")
+@query("rank_persona_topic", f"WITH {rank_cte()} SELECT id, persona, topic FROM ranked")
 def rank_persona_topic(spark, d):
     p = prompts(spark, d, RANK_CUES).withColumn("kw", L.keywords(F.col("text"))).withColumn("ctx", _ctx())
     kw, ctx = F.col("kw"), F.col("ctx")

@@ -12,7 +12,7 @@ from qaforge.queries.base import (
     PAIRS_CTE, cue, cue_sql, keywords_sql, lit, lookup_sql, prompts, query, strip_sql, table,
 )
 from qaforge.queries.label_queries import (
-    CONTEXT_NAMES, RANK_CTE, RANK_CUES, TOPIC_CUES, _ctx,
+    CONTEXT_NAMES, RANK_CUES, TOPIC_CUES, _ctx, rank_cte,
 )
 from qaforge.rules import lexicons as R
 from qaforge.rules import templates as TPL
@@ -59,7 +59,7 @@ _sentence = _filled(
 
 @query(
     "system_prompt_for_pair",
-    f"WITH {RANK_CTE}, o AS (SELECT id, persona, topic, 'neutral' AS tone FROM ranked) SELECT id, coalesce({_line}, {_topic_line}, {_sentence}) || {lit(chr(10) + TPL.GUARDRAIL)} AS system_prompt FROM o",
+    f"WITH {rank_cte(True)}, o AS (SELECT id, persona, topic, 'neutral' AS tone FROM ranked) SELECT id, coalesce({_line}, {_topic_line}, {_sentence}) || {lit(chr(10) + TPL.GUARDRAIL)} AS system_prompt FROM o",
 )
 def system_prompt_for_pair(spark, d):
     p = prompts(spark, d, RANK_CUES).withColumns({"ctx": _ctx(), "none": F.lit("")})

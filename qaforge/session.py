@@ -51,5 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A no-op for inputs that already have enough splits, as any large table has.
     """
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
