@@ -375,9 +375,19 @@ def prompt_style(col: Column) -> Column:
 
 
 def technical_hits(col: Column, technical: Sequence[str] = tuple(R.TECHNICAL_WORDS)) -> Column:
-    """Runs of ASCII letters that are technical words."""
-    choice = "|".join(technical)
-    return F.regexp_count(col, F.lit(f"(?i)(?<![a-zA-Z])(?:{choice})(?![a-zA-Z])"))
+    """Runs of four or more ASCII letters that are technical words, repeats counted."""
+    runs = F.transform(F.regexp_extract_all(col, F.lit("([a-zA-Z]{4,})"), F.lit(1)), F.lower)
+
+    def count(tokens: Column) -> Column:
+        # Hashed set intersection first: most texts end there, and the rest is counted against a few words.
+        return let(
+            F.array_intersect(tokens, texts(list(technical))),
+            lambda met: F.when(F.size(met) == 0, 0).otherwise(
+                F.size(F.filter(tokens, lambda t: F.array_contains(met, t)))
+            ),
+        )
+
+    return let(runs, count)
 
 
 def complexity(col: Column, version: str = "current", technical: Sequence[str] = tuple(R.TECHNICAL_WORDS)) -> Column:

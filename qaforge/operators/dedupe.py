@@ -210,11 +210,15 @@ def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
         .filter(close("_lq") & close("_la"))
         .select("earlier", "later")
     )
+    # Comparing is the heavy step: a fixed number of parts keeps all cores on it however few bytes the pairs take.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e, l = reps.alias("e"), reps.alias("l")
     scored = near.join(e, F.col("earlier") == F.col("e.id")).join(l, F.col("later") == F.col("l.id"))
-    r = _ratios(F.col("l.q"), F.col("e.q"), F.col("l.a"), F.col("e.a"), F.lit(threshold))
+    r = _ratios(F.col("lq"), F.col("q"), F.col("la"), F.col("a"), F.lit(threshold))
     return (
-        scored.select("earlier", "later", r.alias("r"))
+        scored.select("earlier", "later", "e.q", "e.a", F.col("l.q").alias("lq"), F.col("l.a").alias("la"))
+        .repartition(parts, "earlier", "later")
+        .select("earlier", "later", r.alias("r"))
         .filter((F.col("r.q_ratio") >= threshold) & (F.col("r.a_ratio") >= threshold))
         .select("earlier", "later", "r.q_ratio", "r.a_ratio")
     )

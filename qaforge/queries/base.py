@@ -45,8 +45,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables whose rows carry enough work to be worth spreading when they come in fewer splits than there are cores.
+HEAVY = {"documents", "pages", "conversations", "events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 # ---------------------------------------------------------------- SQL fragments
@@ -150,7 +155,7 @@ def cue_sql(id_col: str, cues: Sequence[str], step: int = 1) -> str:
 
 def prompts(spark: SparkSession, sf_dir: str, cues: Sequence[str]) -> DataFrame:
     """(id, n, text): every document followed by two cue words, and a short prompt per event."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("n"),
         F.concat_ws(" ", "text", cue(F.col("doc_id"), cues), cue(F.col("doc_id"), cues, 7)).alias("text"),
     )
