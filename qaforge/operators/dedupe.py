@@ -151,9 +151,10 @@ def signatures(df: DataFrame, text: str, threshold: float, id_col: str = "id", n
     run share one extra signature.
     """
     length = F.length(F.col(text))
-    at = F.sequence(F.lit(1), F.greatest(length - (n - 1), F.lit(1)))
-    base = df.select(F.col(id_col).alias("id"), length.alias("_n"), F.explode(
-        F.transform(at, lambda i: F.substr(F.col(text), i, F.lit(n)))).alias("_g"))
+    # All overlapping runs in one pass over the text.
+    runs = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    runs = F.when(length >= n, runs).otherwise(F.array(F.col(text)))
+    base = df.select(F.col(id_col).alias("id"), length.alias("_n"), F.explode(runs).alias("_g"))
     repeated = base.groupBy("id", "_n", "_g").agg(F.count(F.lit(1)).cast("int").alias("_c"))
     grams = repeated.select(
         "id", "_n", "_g", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")
@@ -198,22 +199,10 @@ def _representatives(df: DataFrame, q: str, a: str, pos: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs whose questions and answers both reach the threshold."""
-    sizes = reps.select("id", F.length("q").alias("_lq"), F.length("a").alias("_la"))
-    span = (2 - threshold) / threshold
-
-    def close(x: str) -> Column:
-        return F.greatest(f"e.{x}", f"l.{x}") <= F.least(f"e.{x}", f"l.{x}") * span + 1e-9
-
-    near = (
-        pairs.join(sizes.alias("e"), F.col("earlier") == F.col("e.id"))
-        .join(sizes.alias("l"), F.col("later") == F.col("l.id"))
-        .filter(close("_lq") & close("_la"))
-        .select("earlier", "later")
-    )
     # Comparing is the heavy step: a fixed number of parts keeps all cores on it however few bytes the pairs take.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     e, l = reps.alias("e"), reps.alias("l")
-    scored = near.join(e, F.col("earlier") == F.col("e.id")).join(l, F.col("later") == F.col("l.id"))
+    scored = pairs.join(e, F.col("earlier") == F.col("e.id")).join(l, F.col("later") == F.col("l.id"))
     r = _ratios(F.col("lq"), F.col("q"), F.col("la"), F.col("a"), F.lit(threshold))
     return (
         scored.select("earlier", "later", "e.q", "e.a", F.col("l.q").alias("lq"), F.col("l.a").alias("la"))
@@ -224,10 +213,33 @@ def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _sharing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (earlier, later) that share a signature."""
-    e, l = left.alias("e"), right.alias("l")
-    on = (F.col("e.gram") == F.col("l.gram")) & (F.col("e.id") < F.col("l.id"))
+def _signed(reps: DataFrame, threshold: float) -> DataFrame:
+    """(id, lq, la, size, gram): signatures of the questions with both lengths and a size class of the answer.
+
+    Lengths of a matching pair differ at most by the factor (2 - t) / t, so classes of that width hold matches in the
+    same or a neighbouring class only.
+    """
+    span = F.lit((2 - threshold) / threshold)
+    sizes = reps.select(
+        "id", F.length("q").alias("lq"), F.length("a").alias("la"),
+        F.floor(F.log(F.greatest(F.length("a"), F.lit(1))) / F.log(span)).cast("int").alias("size"),
+    )
+    return signatures(reps, "q", threshold).join(sizes, "id")
+
+
+def _sharing(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (earlier, later) of fitting lengths that share a signature."""
+    span = (2 - threshold) / threshold + 1e-9
+    e = left.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("e")
+    l = right.alias("l")
+
+    def close(x: str) -> Column:
+        return F.greatest(f"e.{x}", f"l.{x}") <= F.least(f"e.{x}", f"l.{x}") * span
+
+    on = (
+        (F.col("e.gram") == F.col("l.gram")) & (F.col("e.size") == F.col("l.size")) & (F.col("e.id") < F.col("l.id"))
+        & close("lq") & close("la")
+    )
     return e.join(l, on).select(F.col("e.id").alias("earlier"), F.col("l.id").alias("later")).distinct()
 
 
@@ -239,8 +251,8 @@ def fuzzy_pairs(
     Exact copies are represented by their first row.
     """
     reps = cut_lineage(_representatives(df, q, a, pos))
-    sigs = cut_lineage(signatures(reps, "q", threshold))
-    return _verified(_sharing(sigs, sigs), reps, threshold)
+    sigs = cut_lineage(_signed(reps, threshold))
+    return _verified(_sharing(sigs, sigs, threshold), reps, threshold)
 
 
 def dedupe_fuzzy(
@@ -254,21 +266,21 @@ def dedupe_fuzzy(
     rest of its crowds are compared with it alone. What remains is compared pair by pair.
     """
     reps = cut_lineage(_representatives(df, q, a, pos))
-    sigs = cut_lineage(signatures(reps, "q", threshold))
+    sigs = cut_lineage(_signed(reps, threshold))
     kept: DataFrame | None = None
 
     for _ in range(passes):
-        busiest = sigs.groupBy("gram").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        busiest = sigs.groupBy("gram", "size").count().agg(F.max("count").alias("n")).first()["n"] or 0
         if busiest <= crowd:
             break
         leaders = sigs.groupBy("gram").agg(F.min("id").alias("lead"))
         behind = sigs.join(leaders, "gram").filter(F.col("id") > F.col("lead")).select("id").distinct()
         sure = cut_lineage(sigs.select("id").distinct().join(behind, "id", "left_anti"))
         sure_sigs = sigs.join(sure, "id", "left_semi")
-        hit = cut_lineage(_verified(_sharing(sure_sigs, sigs), reps, threshold).select(F.col("later").alias("id")).distinct())
+        hit = cut_lineage(_verified(_sharing(sure_sigs, sigs, threshold), reps, threshold).select(F.col("later").alias("id")).distinct())
         kept = sure if kept is None else kept.unionByName(sure)
         sigs = cut_lineage(sigs.join(sure.unionByName(hit), "id", "left_anti"))
 
-    rest = keep_first_unlinked(sigs.select("id"), _verified(_sharing(sigs, sigs), reps, threshold))
+    rest = keep_first_unlinked(sigs.select("id"), _verified(_sharing(sigs, sigs, threshold), reps, threshold))
     kept = rest if kept is None else kept.unionByName(rest)
     return df.join(kept.select(F.col("id").alias(pos)), pos, "left_semi").select(*df.columns)
