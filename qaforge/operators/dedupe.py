@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -116,24 +117,25 @@ def dedupe_either_side(df: DataFrame, scope: str = "url", q: str = "question", a
     return rows.join(kept.select("_q", "_a", F.col("_pos").alias(pos)), ["_q", "_a", pos], "left_semi").select(*df.columns)
 
 
-_RATIOS = T.StructType([T.StructField("q_ratio", T.DoubleType()), T.StructField("a_ratio", T.DoubleType())])
+@F.pandas_udf(T.DoubleType())
+def _ratio(later: pd.Series, earlier: pd.Series, least: pd.Series) -> pd.Series:
+    """Sequence-match ratio, later text first; a pair that cannot reach the threshold gets -1."""
+    bags: dict[str, Counter] = {}
 
+    def bag(text: str) -> Counter:
+        if text not in bags:
+            bags[text] = Counter(text)
+        return bags[text]
 
-@F.pandas_udf(_RATIOS)
-def _ratios(q1: pd.Series, q2: pd.Series, a1: pd.Series, a2: pd.Series, least: pd.Series) -> pd.DataFrame:
-    """Sequence-match ratios, later text first; a pair that cannot reach the threshold gets -1."""
-
-    def ratio(later: str, earlier: str, t: float) -> float:
-        if later == earlier:
+    def one(x: str, y: str, t: float) -> float:
+        if x == y:
             return 1.0
-        m = difflib.SequenceMatcher(None, later, earlier)
-        return m.ratio() if m.real_quick_ratio() >= t and m.quick_ratio() >= t else -1.0
+        # Characters in common, whatever their order, bound the ratio from above and are cheap to count.
+        if 2.0 * (bag(x) & bag(y)).total() / (len(x) + len(y)) < t:
+            return -1.0
+        return difflib.SequenceMatcher(None, x, y).ratio()
 
-    rows = []
-    for lq, eq, la, ea, t in zip(q1, q2, a1, a2, least):
-        rq = ratio(lq, eq, t)
-        rows.append((rq, ratio(la, ea, t) if rq >= t else -1.0))
-    return pd.DataFrame(rows, columns=["q_ratio", "a_ratio"])
+    return pd.Series([one(x, y, t) for x, y, t in zip(later, earlier, least)], dtype="float64")
 
 
 # A run of characters found in more than one text per this many is ranked as common.
@@ -198,19 +200,22 @@ def _representatives(df: DataFrame, q: str, a: str, pos: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs whose questions and answers both reach the threshold."""
+    """Candidate pairs whose questions and answers both reach the threshold.
+
+    Questions go first: only pairs that pass there carry their longer answers through a shuffle.
+    """
     # Comparing is the heavy step: a fixed number of parts keeps all cores on it however few bytes the pairs take.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e, l = reps.alias("e"), reps.alias("l")
-    scored = pairs.join(e, F.col("earlier") == F.col("e.id")).join(l, F.col("later") == F.col("l.id"))
-    r = _ratios(F.col("lq"), F.col("q"), F.col("la"), F.col("a"), F.lit(threshold))
-    return (
-        scored.select("earlier", "later", "e.q", "e.a", F.col("l.q").alias("lq"), F.col("l.a").alias("la"))
-        .repartition(parts, "earlier", "later")
-        .select("earlier", "later", r.alias("r"))
-        .filter((F.col("r.q_ratio") >= threshold) & (F.col("r.a_ratio") >= threshold))
-        .select("earlier", "later", "r.q_ratio", "r.a_ratio")
-    )
+
+    def compare(rows: DataFrame, side: str, out: str) -> DataFrame:
+        e = reps.select(F.col("id").alias("earlier"), F.col(side).alias("_e"))
+        l = reps.select(F.col("id").alias("later"), F.col(side).alias("_l"))
+        both = rows.join(e, "earlier").join(l, "later").repartition(parts, "earlier", "later")
+        scored = both.withColumn(out, _ratio(F.col("_l"), F.col("_e"), F.lit(threshold)))
+        return scored.filter(F.col(out) >= threshold).drop("_e", "_l")
+
+    alike = compare(pairs, "q", "q_ratio")
+    return compare(alike, "a", "a_ratio").select("earlier", "later", "q_ratio", "a_ratio")
 
 
 def _signed(reps: DataFrame, threshold: float) -> DataFrame:
