@@ -23,15 +23,17 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
 def read_qa(spark: SparkSession, path: str, bad: str = "drop", short: bool = False) -> DataFrame:
     """Pairs from JSON lines; missing sides become "". Bad lines are dropped, kept (with their text) or fail."""
     schema = S.QA_SHORT if short else S.QA
-    mode = {"drop": "PERMISSIVE", "keep": "PERMISSIVE", "fail": "FAILFAST"}[bad]
-    reader = spark.read.option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.schema(schema if bad == "fail" else _with_corrupt(schema)).json(path)
+    options = {"mode": "FAILFAST" if bad == "fail" else "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # Read as text: a JSON scan refuses queries that need nothing but the corrupt record column.
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+    parsed = lines.select(F.from_json("value", _with_corrupt(schema), options).alias("r")).select("r.*")
     q, a = schema.fieldNames()
-    filled = [F.coalesce(F.col(q), F.lit("")).alias("question"), F.coalesce(F.col(a), F.lit("")).alias("answer")]
-    if bad == "drop":
-        # Parsed as lines and not through the column alone, which a pruned scan would refuse.
-        return df.filter(F.col(CORRUPT).isNull()).select(*filled)
-    return df.select(*filled, CORRUPT) if bad == "keep" else df.select(*filled)
+    rows = parsed.select(
+        F.coalesce(F.col(q), F.lit("")).alias("question"), F.coalesce(F.col(a), F.lit("")).alias("answer"), CORRUPT
+    )
+    if bad == "keep":
+        return rows
+    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_chat(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
