@@ -184,12 +184,13 @@ def crawl_report(spark, d):
 
 @query(
     "skip_processed",
-    f"""WITH store AS (SELECT DISTINCT {_site} AS s FROM pages WHERE page_id % 3 = 0)
+    f"""WITH store AS (SELECT DISTINCT {_site} AS s FROM pages WHERE contains(html, ' nicht '))
     SELECT page_id, url FROM pages WHERE {_site} NOT IN (SELECT s FROM store)""",
 )
 def skip_processed(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url")
-    return K.skip_processed(pages, pages.filter("page_id % 3 = 0"), by="site")
+    pages = table(spark, d, "pages")
+    done = pages.filter(F.contains("html", F.lit(" nicht "))).select("url")
+    return K.skip_processed(pages.select("page_id", "url"), done, by="site")
 
 
 @query(

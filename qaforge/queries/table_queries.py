@@ -450,14 +450,15 @@ def search_qa(spark, d):
 
 @query(
     "lookup_answer",
-    f"""WITH {DOC_QA_CTE}, f AS (SELECT question, arg_min(answer, pos) AS f, arg_max(answer, pos) AS l FROM qa WHERE pos % 2 = 0 GROUP BY question)
-    SELECT qa.pos, qa.question, coalesce(f.f, 'Not found') AS answer, coalesce(f.l, 'Not found') AS last_answer FROM qa LEFT JOIN f ON qa.question = f.question""",
+    f"""WITH {DOC_QA_CTE}, f AS (SELECT question, arg_min(answer, pos) AS f, arg_max(answer, pos) AS l FROM qa GROUP BY question),
+    a AS (SELECT pos, CASE WHEN pos % 2 = 0 THEN question ELSE question || '!' END AS question FROM qa)
+    SELECT a.pos, a.question, coalesce(f.f, 'Not found') AS answer, coalesce(f.l, 'Not found') AS last_answer FROM a LEFT JOIN f ON a.question = f.question""",
 )
 def lookup_answer(spark, d):
     qa = doc_qa(spark, d)
-    store = qa.filter("pos % 2 = 0")
-    first = RT.lookup_answer(qa.select("pos", "question"), store)
-    last = RT.lookup_answer(qa.select("pos", "question"), store, keep="last")
+    # Every other question is changed, so that some are not found.
+    other = F.when(F.col("pos") % 2 == 0, F.col("question")).otherwise(F.concat("question", F.lit("!")))
+    asked = qa.select("pos", other.alias("question"))
+    first = RT.lookup_answer(asked, qa)
+    last = RT.lookup_answer(asked, qa, keep="last")
     return first.join(last.select("pos", F.col("answer").alias("last_answer")), "pos")
-
-
