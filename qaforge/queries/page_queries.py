@@ -118,7 +118,12 @@ def distinct_links(spark, d):
     return K.distinct_links(_formed(spark, d))
 
 
-@query("page_links")
+@query(
+    "page_links",
+    f"""WITH {LINKS_CTE}, r AS (SELECT src, regexp_replace({_ROOT} || href, '#.*$', '') AS dst, pos FROM links)
+    SELECT src, dst, min(pos) AS pos FROM r
+    WHERE NOT regexp_matches(dst, {lit(R.ASSET_PATTERN)}) AND NOT contains(substr(dst, length(src) + 1), {_AUTH}) GROUP BY ALL""",
+)
 def page_links(spark, d):
     return K.page_links(table(spark, d, "pages"), cues=None)
 
