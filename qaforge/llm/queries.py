@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
+from qaforge.llm import mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +56,31 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decon.digest(decon.decontaminate(docs, read(spark, sf_dir, "benchmark")), "doc_id")
+
+
+@query("op3_balanced_shards")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), 8)
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS bytes FROM d WHERE source IS NOT NULL GROUP BY source),
+r AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM s)) / (bytes / (SELECT sum(bytes) FROM s)) AS rate FROM s),
+steps AS (SELECT source, rate, unnest(range(0, CAST(rate + 12 * sqrt(rate) + 24 AS BIGINT))) AS n FROM (SELECT * FROM r UNION ALL SELECT NULL, 1.0)),
+cdf AS (SELECT source, rate, n, sum(exp(-rate + n * ln(rate) - CASE WHEN n < 2 THEN 0 ELSE lgamma(n + 1) END)) OVER (PARTITION BY source ORDER BY n) AS p FROM steps),
+lists AS (SELECT source, rate, list(p ORDER BY n) AS ps FROM cdf GROUP BY source, rate),
+drawn AS (
+  SELECT doc_id, d.source, md5(text) AS text_md5, rate,
+         len(list_filter(ps, lambda p: p <= ('0x' || substr(md5(concat_ws('|', '10', '1', coalesce(doc_id::VARCHAR, ''), md5(text))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) AS copies
+  FROM d JOIN lists ON d.source IS NOT DISTINCT FROM lists.source)
+SELECT doc_id, source, text_md5, round(rate, 9) AS rate, copies::INT AS copies, unnest(range(1, copies + 1))::INT AS copy FROM drawn WHERE copies > 0
+"""
+
+
+@query("op10_poisson_mixture", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources brought to equal shares of the bytes, the corpus to its size of before."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.replicate(docs, mixing.source_rates(docs), seed=10)
+    return mixed.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.round("rate", 9).alias("rate"), "copies", "copy")
