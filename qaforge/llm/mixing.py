@@ -45,8 +45,10 @@ def _invert(point: Column, rate: Column) -> Column:
 def poisson_count(seed: int, rate: Column, *key: Column) -> Column:
     """A Poisson count of the given mean, fixed by the seed and the key columns."""
     pieces = F.sequence(F.lit(1), F.greatest(F.ceil(rate / PIECE), F.lit(1)).cast("int"))
-    drawn = F.transform(pieces, lambda i: _invert(unit(seed, i, *key), rate / F.size(pieces)))
-    return F.when(rate > 0, F.aggregate(drawn, F.lit(0), lambda a, x: a + x)).otherwise(F.lit(0))
+    # The point reads the whole text, so it is bound before the steps and not computed at each.
+    points = F.transform(pieces, lambda i: unit(seed, i, *key))
+    count = F.aggregate(points, F.lit(0), lambda total, point: total + _invert(point, rate / F.size(pieces)))
+    return F.when(rate > 0, count).otherwise(F.lit(0))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", text: str = "text", total: float = 1.0) -> DataFrame:
