@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
-from qaforge.llm import mixing, sharding
+from qaforge.llm import mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.replicate(docs, mixing.source_rates(docs), seed=10)
     return mixed.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.round("rate", 9).alias("rate"), "copies", "copy")
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
