@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
-from qaforge.llm import mixing, quality, sharding, simhash
+from qaforge.llm import html, mixing, quality, sharding, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urlfilter.train(urlfilter.labelled_urls(spark))
+    judged = urlfilter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+OP4_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '<(br|/?(p|h1|article|div))>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&') AS x FROM b),
+t AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""
+
+
+@query("op4_main_text", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
