@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
-from qaforge.llm import html, mixing, quality, sharding, simhash, urlfilter
+from qaforge.llm import fingerprints, html, mixing, quality, sharding, simhash, tokens, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,19 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 @query("op4_main_text", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op2_chunk_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(read(spark, sf_dir, "documents"))
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenize_documents(read(spark, sf_dir, "documents"), byte_bpe())
