@@ -9,7 +9,7 @@ The index holds id, place, length and token count per document, so one short doc
 A file opens only with the dictionary it was written with.
 
 Text is encoded word by word through a cache where that gives the ids of the whole text: byte-level vocabularies cut the text before a single
-blank and around a single line break. A text with two white-space characters in a row is encoded whole.
+blank, around a single line break, and between a letter and the marks after it. A text with two white-space characters in a row is encoded whole.
 
 Defined results: a null text is empty and has the end id only; equal ids follow the order of a hash of the frame; null ids come first and are
 marked in the index; repeated rows are stored each; an empty table gives no files and an empty result.
@@ -38,10 +38,11 @@ from qaforge.llm.store import mappable, writing
 MAGIC = b"QIDS\x01"
 END = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 2000, 8 << 20, 64 << 10
-CACHE_WORDS = 200_000
-BATCH_CHARS = 1 << 20
+CACHE_WORDS = 800_000
+BATCH_CHARS = 2 << 20
 ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("place", "<u8"), ("length", "<u4"), ("tokens", "<u8")])
 HEAD, FOOT = "<5sB32s", "<QQ5s"
+MARKS = ".,;:!?#%&*$"
 DOUBLE_SPACE = re.compile(r"\s\s")
 
 
@@ -59,7 +60,8 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
         self.words: dict[str, bytes] = {}  # a word with a blank before it
-        self.line_break = self._whole(["\n"])[0]
+        self.first: dict[str, bytes] = {}  # a word that begins a line
+        self.line_break, self.blank = self._whole(["\n", " "])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -69,7 +71,7 @@ class Encoder:
         """Ids of words with a blank before each: encoded as one text and cut where a token opens with the blank."""
         if not words:
             return {}
-        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, dtype=self.dtype)
+        ids = np.frombuffer(self._whole([" " + " ".join(words)])[0], dtype=self.dtype)
         cuts = np.flatnonzero(self.opens[ids])
         if len(cuts) != len(words):
             return dict(zip(words, self._whole([" " + w for w in words])))
@@ -86,23 +88,38 @@ class Encoder:
             for line in lines or ():
                 heads.add(line[0])
                 seen.update(islice(line, 1, None))
-        fresh = [w for w in seen if w and w not in self.words]
-        new: dict[str, bytes] = {}
-        for low in range(0, len(fresh), 4096):
-            new |= self._new_words(fresh[low : low + 4096])
-        if "" in seen:
-            new[""] = self._whole([" "])[0]
-        heads.discard("")
-        first = dict(zip(heads, self._whole(list(heads)))) | {"": b""}
-        room = CACHE_WORDS - len(self.words)
-        self.words.update(islice(new.items(), max(0, room)))
-        known = self.words if room >= len(new) else {w: new[w] if w in new else self.words[w] for w in seen}
+        if len(self.words) > CACHE_WORDS:  # the earliest words, which are the most frequent ones, stay
+            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
+        seen.discard("")
+        # Punctuation after a letter is a piece of its own, so such a word is put together from two known ones.
+        marked, fresh = [], set()
+        for word in seen.difference(self.words):
+            core = word.rstrip(MARKS)
+            if len(core) < len(word) and core[-1:].isalpha():
+                marked.append((word, core, word[len(core) :]))
+                fresh.add(core)
+            else:
+                fresh.add(word)
+        fresh = list(fresh.difference(self.words))
+        for low in range(0, len(fresh), 16384):
+            self.words.update(self._new_words(fresh[low : low + 16384]))
+        tails = list({tail for _, _, tail in marked})
+        end = dict(zip(tails, self._whole(tails)))
+        words = self.words
+        for word, core, tail in marked:
+            words[word] = words[core] + end[tail]
+        self.words[""] = self.blank
+        if len(self.first) > CACHE_WORDS // 4:
+            self.first = {}
+        fresh = list(heads.difference(self.first))
+        self.first.update(zip(fresh, self._whole(fresh)))
+        first, known = self.first, self.words.__getitem__
         out = []
         for lines in plain:
             if lines is None:
                 out.append(next(rest))
             else:
-                out.append(self.line_break.join(first[line[0]] + b"".join(map(known.__getitem__, islice(line, 1, None))) for line in lines))
+                out.append(self.line_break.join(first[line[0]] + b"".join(map(known, islice(line, 1, None))) for line in lines))
         return out
 
 
@@ -124,11 +141,14 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, size: int = DICTIONARY) -> bytes:
     """Dictionary from the ids of the sampled documents (smallest hashes of the id first, up to `SAMPLE_BYTES` of ids)."""
-    rows = docs.select(F.col(text).alias("t")).filter("t is not null and t <> ''") if doc_id not in docs.columns else (
-        docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter("t is not null and t <> ''").orderBy(F.xxhash64("i"), F.xxhash64("t")).limit(sample)
-    )
+    keys = docs.filter(f"{text} is not null and {text} <> ''").select(F.col(doc_id).cast("long").alias("k")).filter("k is not null")
+    picked = [r["k"] for r in keys.orderBy(F.xxhash64("k"), "k").limit(sample).collect()]
+    ids = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(picked))], "k long")  # `sample` rows at most
+    rows = docs.join(F.broadcast(ids), docs[doc_id] == ids["k"], "left_semi").select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     samples, total = [], 0
     for row in rows.toLocalIterator():
+        if not row["t"]:
+            continue
         ids = encoder(tokenizer).encode([row["t"]])[0]
         samples.append(ids)
         total += len(ids)
