@@ -8,7 +8,7 @@ read; only the compressed frames are shuffled, once, into ranges of ids, and eac
 The index holds id, place, length and token count per document, so one short document is read without the rest of the file.
 A file opens only with the dictionary it was written with.
 
-Text is encoded word by word through a cache where that gives the ids of the whole text: byte-level vocabularies cut the text before a single
+Text is encoded word by word through a table of known words where that gives the ids of the whole text: byte-level vocabularies cut the text before a single
 blank, around a single line break, and between a letter and the marks after it. A text with two white-space characters in a row is encoded whole.
 
 Defined results: a null text is empty and has the end id only; equal ids follow the order of a hash of the frame; null ids come first and are
@@ -23,7 +23,6 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +31,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qaforge.llm.common import arrow_schema, id_cuts, partitions, shared_path, written
+from qaforge.llm.common import BASE, arrow_schema, byte_table, id_cuts, partitions, shared_path, span_hashes, text_blocks, word_spans, written
 from qaforge.llm.store import mappable, writing
 
 MAGIC = b"QIDS\x01"
 END = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 2000, 8 << 20, 64 << 10
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 BATCH_CHARS = 2 << 20
 ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("place", "<u8"), ("length", "<u4"), ("tokens", "<u8")])
 HEAD, FOOT = "<5sB32s", "<QQ5s"
 MARKS = ".,;:!?#%&*$"
 DOUBLE_SPACE = re.compile(r"\s\s")
+WORDS = byte_table([(10, 10), (32, 32)])
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes."""
+    """Ids of texts as little-endian bytes.
+
+    Words are found and hashed for a block of texts at once. A table from a word's 64-bit digest to its ids grows by the words that are new; the
+    library encodes those. A word's digest tells whether it stands at the start of its text, behind a blank or behind a line break.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,15 +63,20 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.words: dict[str, bytes] = {}  # a word with a blank before it
-        self.first: dict[str, bytes] = {}  # a word that begins a line
-        self.line_break, self.blank = self._whole(["\n", " "])
+        self.line_break = self._whole(["\n"])[0]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table: dict[int, int] = {}
+        self.begin = np.zeros(1 << 16, dtype="int64")
+        self.flat = np.zeros(1 << 18, dtype=self.dtype)
+        self.used = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+    def _blank_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words with a blank before each: encoded as one text and cut where a token opens with the blank."""
         if not words:
             return {}
@@ -79,48 +88,63 @@ class Encoder:
         ends = np.append(cuts[1:], len(ids)) * width
         return {w: raw[a:b] for w, a, b in zip(words, (cuts * width).tolist(), ends.tolist())}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if DOUBLE_SPACE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        rest = iter(self._whole([t for t, lines in zip(texts, plain) if lines is None]))
-        seen: set[str] = set()
-        heads: set[str] = set()
-        for lines in plain:
-            for line in lines or ():
-                heads.add(line[0])
-                seen.update(islice(line, 1, None))
-        if len(self.words) > CACHE_WORDS:  # the earliest words, which are the most frequent ones, stay
-            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
-        seen.discard("")
-        # Punctuation after a letter is a piece of its own, so such a word is put together from two known ones.
-        marked, fresh = [], set()
-        for word in seen.difference(self.words):
+    def _new(self, words: list[tuple[str, int]]) -> list[bytes]:
+        """Ids of words by place: 0 at the start of a text, 1 behind a blank, 2 behind a line break."""
+        # Punctuation after a letter is a piece of its own, so such a word is put together from two.
+        parts = []
+        for word, place in words:
             core = word.rstrip(MARKS)
-            if len(core) < len(word) and core[-1:].isalpha():
-                marked.append((word, core, word[len(core) :]))
-                fresh.add(core)
-            else:
-                fresh.add(word)
-        fresh = list(fresh.difference(self.words))
-        for low in range(0, len(fresh), 16384):
-            self.words.update(self._new_words(fresh[low : low + 16384]))
-        tails = list({tail for _, _, tail in marked})
-        end = dict(zip(tails, self._whole(tails)))
-        words = self.words
-        for word, core, tail in marked:
-            words[word] = words[core] + end[tail]
-        self.words[""] = self.blank
-        if len(self.first) > CACHE_WORDS // 4:
-            self.first = {}
-        fresh = list(heads.difference(self.first))
-        self.first.update(zip(fresh, self._whole(fresh)))
-        first, known = self.first, self.words.__getitem__
-        out = []
-        for lines in plain:
-            if lines is None:
-                out.append(next(rest))
-            else:
-                out.append(self.line_break.join(first[line[0]] + b"".join(map(known, islice(line, 1, None))) for line in lines))
-        return out
+            cut = len(core) if len(core) < len(word) and core[-1:].isalpha() else len(word)
+            parts.append((word[:cut], word[cut:], place))
+        blank = self._blank_words(list({core for core, _, place in parts if place == 1}))
+        rest = list({x for core, tail, place in parts for x in ((tail,) if place == 1 else (core, tail)) if x})
+        plain = dict(zip(rest, self._whole(rest))) | {"": b""}
+        return [(blank[core] if place == 1 else (self.line_break if place else b"") + plain[core]) + plain[tail] for core, tail, place in parts]
+
+    def _rows(self, keys: list[int], place: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Rows of the table for distinct digests, new words added."""
+        at = list(map(self.table.get, keys))
+        fresh = [i for i, r in enumerate(at) if r is None]
+        if fresh:
+            words = [(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"), int(place[i])) for i in fresh]
+            found = self._new(words)
+            ids = np.frombuffer(b"".join(found), dtype=self.dtype)
+            sizes = np.fromiter(map(len, found), dtype="int64", count=len(found)) // self.dtype.itemsize
+            row = len(self.table)
+            while row + len(found) + 1 > len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.begin[row + 1 : row + 1 + len(found)] = self.used + np.cumsum(sizes)
+            self.used += len(ids)
+            for k, i in enumerate(fresh, row):
+                at[i] = self.table[keys[i]] = k
+        return np.array(at, dtype="int64")
+
+    def _block(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        if len(self.table) > CACHE_WORDS:
+            self._clear()
+        starts, ends, row = word_spans(data, offsets, WORDS)
+        before = data[np.maximum(starts - 1, 0)]
+        place = np.where(starts == offsets[row], 0, np.where(before == 32, 1, 2)).astype("uint64")
+        keys, first, of = np.unique(span_hashes(data, starts, ends) + place * np.uint64(BASE), return_index=True, return_inverse=True)
+        rows = self._rows(keys.tolist(), place[first], starts[first], ends[first], data)[of]
+        sizes = self.begin[rows + 1] - self.begin[rows]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.begin[rows] - total[:-1], sizes) + np.arange(total[-1])]
+        cuts = (total[np.searchsorted(row, np.arange(len(offsets)))] * self.dtype.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = [not t or t[0].isspace() or t[-1].isspace() or DOUBLE_SPACE.search(t) is not None for t in texts]
+        rest = iter(self._whole([t for t, o in zip(texts, odd) if o]))
+        plain: list[bytes] = []
+        for _, _, data, offsets in text_blocks(pa.array([t for t, o in zip(texts, odd) if not o], type=pa.large_string())):
+            plain += self._block(data, offsets)
+        known = iter(plain)
+        return [next(rest) if o else next(known) for o in odd]
 
 
 @lru_cache(maxsize=2)
