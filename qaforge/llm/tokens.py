@@ -18,7 +18,6 @@ marked in the index; repeated rows are stored each; an empty table gives no file
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +38,13 @@ MAGIC = b"QIDS\x01"
 END = 0
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 2000, 8 << 20, 64 << 10
 CACHE_WORDS = 1_000_000
-BATCH_CHARS = 2 << 20
+STEP = 1000  # rows that are encoded before their frames are passed on
 ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("place", "<u8"), ("length", "<u4"), ("tokens", "<u8")])
 HEAD, FOOT = "<5sB32s", "<QQ5s"
 MARKS = ".,;:!?#%&*$"
-DOUBLE_SPACE = re.compile(r"\s\s")
+SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+# Empty texts, and white space at either end or twice in a row.
+ODD = rf"\A\z|\A{SPACES}|{SPACES}\z|{SPACES}{SPACES}"
 WORDS = byte_table([(10, 10), (32, 32)])
 
 
@@ -137,14 +139,15 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [not t or t[0].isspace() or t[-1].isspace() or DOUBLE_SPACE.search(t) is not None for t in texts]
-        rest = iter(self._whole([t for t, o in zip(texts, odd) if o]))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow string column without nulls."""
+        odd = pc.match_substring_regex(texts, ODD)
+        rest = iter(self._whole(texts.filter(odd).to_pylist()))
         plain: list[bytes] = []
-        for _, _, data, offsets in text_blocks(pa.array([t for t, o in zip(texts, odd) if not o], type=pa.large_string())):
+        for _, _, data, offsets in text_blocks(texts.filter(pc.invert(odd))):
             plain += self._block(data, offsets)
         known = iter(plain)
-        return [next(rest) if o else next(known) for o in odd]
+        return [next(rest) if o else next(known) for o in odd.to_pylist()]
 
 
 @lru_cache(maxsize=2)
@@ -152,17 +155,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    low, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_CHARS:
-            yield low, i + 1
-            low, size = i + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, size: int = DICTIONARY) -> bytes:
     """Dictionary from the ids of the sampled documents (smallest hashes of the id first, up to `SAMPLE_BYTES` of ids)."""
     keys = docs.filter(f"{text} is not null and {text} <> ''").select(F.col(doc_id).cast("long").alias("k")).filter("k is not null")
@@ -173,7 +165,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     for row in rows.toLocalIterator():
         if not row["t"]:
             continue
-        ids = encoder(tokenizer).encode([row["t"]])[0]
+        ids = encoder(tokenizer).encode(pa.array([row["t"]]))[0]
         samples.append(ids)
         total += len(ids)
         if total >= SAMPLE_BYTES:
@@ -213,10 +205,9 @@ def write_tokens(
         pack = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(sent.value), write_checksum=False)
         tail = np.array([end], dtype=coder.dtype).tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low, high in _batches(texts):
-                ids = batch.column("doc_id").slice(low, high - low)
-                found = [b + tail for b in coder.encode(texts[low:high])]
+            for low in range(0, batch.num_rows, STEP):
+                ids = batch.column("doc_id").slice(low, STEP)
+                found = [b + tail for b in coder.encode(batch.column("text").slice(low, STEP))]
                 part = np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(), side="right").astype("int32") if len(cuts) else np.zeros(len(found), dtype="int32")
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part), ids, pa.array([len(b) // coder.dtype.itemsize for b in found], type=pa.int64()), pa.array([pack.compress(b) for b in found], type=pa.binary()),
@@ -255,6 +246,7 @@ class TokenFile:
 
     def __init__(self, file: str, dictionary: bytes):
         self.data = np.memmap(mappable(file), dtype="uint8", mode="r")
+        self.raw = memoryview(self.data)
         magic, width, digest = struct.unpack(HEAD, self.data[: struct.calcsize(HEAD)].tobytes())
         place, count, tail = struct.unpack(FOOT, self.data[-struct.calcsize(FOOT) :].tobytes())
         if magic != MAGIC or tail != MAGIC:
@@ -267,9 +259,8 @@ class TokenFile:
 
     def ids(self, i: int) -> np.ndarray:
         """Ids of the i-th document of the file."""
-        e = self.index[i]
-        raw = self.unpack.decompress(self.data[e["place"] : e["place"] + e["length"]].tobytes())
-        return np.frombuffer(raw, dtype=self.dtype)
+        place = int(self.index["place"][i])
+        return np.frombuffer(self.unpack.decompress(self.raw[place : place + int(self.index["length"][i])]), dtype=self.dtype)
 
     def find(self, doc_id: int) -> np.ndarray | None:
         """Ids of the document with this id, without reading others."""
