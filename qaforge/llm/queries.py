@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
-from qaforge.llm import fingerprints, html, mixing, quality, sharding, simhash, tokens, urlfilter
+from qaforge.llm import fingerprints, html, mixing, ngram, quality, sharding, simhash, tokens, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,8 @@ def byte_bpe() -> str:
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize_documents(read(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query("op5_kneser_ney_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.train_and_score(read(spark, sf_dir, "documents"))
