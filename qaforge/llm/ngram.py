@@ -147,9 +147,12 @@ class Model:
     word_discounts: np.ndarray
     word_often: np.ndarray  # words with one, two, more contexts
 
-    def load(self) -> None:
-        self.pair_files = [_load(f"{self.path}/pairs-{s:06d}", PAIR_COLUMNS) for s in range(self.shards)]
-        self.word_files = [_load(f"{self.path}/words-{s:06d}", WORD_COLUMNS) for s in range(self.shards)]
+    def columns(self, name: str, shard: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """A shard's file, mapped at its first use in this process."""
+        known = self.__dict__.setdefault("_mapped", {})
+        if (name, shard) not in known:
+            known[name, shard] = _load(f"{self.path}/{name}-{shard:06d}", kinds)
+        return known[name, shard]
 
     def words_of(self, h: np.ndarray) -> list[np.ndarray]:
         """Columns of the word table (tokens, tokens as context, contexts, followers once, twice, more); zeros for unknown words."""
@@ -159,11 +162,12 @@ class Model:
         edges = np.searchsorted(share[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[s] : edges[s + 1]]
-            found = isin_sorted(self.word_files[s][0], h[at])
+            stored = self.columns("words", s, WORD_COLUMNS)
+            found = isin_sorted(stored[0], h[at])
             known = found >= 0
             at, found = at[known], found[known]
-            for column, stored in zip(out, self.word_files[s][1:]):
-                column[at] = stored[found]
+            for column, values in zip(out, stored[1:]):
+                column[at] = values[found]
         return out
 
     def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -174,9 +178,10 @@ class Model:
         edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             at = order[edges[s] : edges[s + 1]]
-            found = isin_sorted(self.pair_files[s][0], digest[at])
+            stored = self.columns("pairs", s, PAIR_COLUMNS)
+            found = isin_sorted(stored[0], digest[at])
             known = found >= 0
-            out[at[known]] = self.pair_files[s][1][found[known]]
+            out[at[known]] = stored[1][found[known]]
         return out
 
     def log_probabilities(self, cur: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +336,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        model.load()
         for batch in batches:
             for low, high, data, offsets in text_blocks(batch.column("text")):
                 cur, before, row = tokens_of(data, offsets)

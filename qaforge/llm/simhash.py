@@ -133,10 +133,11 @@ def _labelled(fps: DataFrame, roots: DataFrame) -> DataFrame:
 def ball_links(labelled: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """Links (u, v) between roots of fingerprints within the distance whose roots differ: all of them, by lookup of Hamming balls."""
     balls = _ball(segments, distance // segments)
-    probes = [
-        F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, k=key: k.bitwiseXOR(m))
-        for key, masks in zip(_keys(F.col("fp"), segments), balls)
-    ]
+
+    def around(key: Column, masks: list[int]) -> Column:
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: key.bitwiseXOR(m))
+
+    probes = [around(key, masks) for key, masks in zip(_keys(F.col("fp"), segments), balls)]
     asked = labelled.select(F.col("fp").alias("a"), F.col("root").alias("u"), F.explode(F.concat(*probes)).alias("key"))
     table = labelled.select(F.col("fp").alias("b"), F.col("root").alias("v"), F.explode(F.array(*_keys(F.col("fp"), segments))).alias("key"))
     met = (asked["key"] == table["key"]) & (F.col("a") < F.col("b")) & (F.col("u") != F.col("v")) & near(F.col("a"), F.col("b"), distance)

@@ -90,12 +90,13 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
 def _slices(text: Column, mark: str, sizes: Sequence[int]) -> list[Column]:
     """Every run of `size` characters of the marked text; texts shorter than that have none."""
     whole = F.concat(F.lit(mark), text, F.lit("$"))
-    out = []
-    for size in sizes:
+
+    def cut(size: int) -> Column:
         last = F.length(whole) - size + 1
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, s=size: F.concat(F.lit(mark), F.substr(whole, i, F.lit(s))))
-        out.append(F.when((F.length(text) > 0) & (last > 0), cut).otherwise(F.array().cast("array<string>")))
-    return out
+        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substr(whole, i, F.lit(size))))
+        return F.when((F.length(text) > 0) & (last > 0), each).otherwise(F.array().cast("array<string>"))
+
+    return [cut(size) for size in sizes]
 
 
 def grams(host: Column, path: Column, sizes: Sequence[int] = GRAMS) -> Column:
@@ -108,7 +109,7 @@ def _with_grams(df: DataFrame, url: str) -> DataFrame:
     return df.withColumns({"__host": host, "__path": path}).withColumn("__grams", grams(F.col("__host"), F.col("__path")))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, penalty: float = 0.00003) -> PipelineModel:
+def train(labelled: DataFrame, buckets: int = BUCKETS, penalty: float = 0.0003) -> PipelineModel:
     """Fit on (url, label)."""
     # The table is small: one task per pass over it is enough.
     rows = _with_grams(labelled.filter("label is not null"), "url").select("__grams", F.col("label").cast("double").alias("label")).coalesce(1)
@@ -119,7 +120,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, penalty: float = 0.00003)
     return Pipeline(stages=stages).fit(rows)
 
 
-def judge_urls(df: DataFrame, model: PipelineModel, rules: Sequence[tuple[str, str]] = (), url: str = "url", threshold: float = 0.35) -> DataFrame:
+def judge_urls(df: DataFrame, model: PipelineModel, rules: Sequence[tuple[str, str]] = (), url: str = "url", threshold: float = 0.5) -> DataFrame:
     """Add `host`, `path`, `rule`, `score` (probability that the address is to be blocked) and `verdict` (allow or block)."""
     rows = without(df, ["host", "path", "rule", "score", "verdict"])
     scored = model.transform(_with_grams(rows, url))
