@@ -16,7 +16,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine of two vectors; 0 where either has no length, as top_k has it."""
+    lengths = norm(a) * norm(b)
+    return F.when(lengths > 0, dot(a, b) / lengths).when(lengths.isNotNull(), F.lit(0.0))
 
 
 def pair_verdict(score: Column) -> Column:

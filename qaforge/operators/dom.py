@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from qaforge.functions.common import texts
 from qaforge.rules import lexicons as R
-from qaforge.session import spread
 
 # Elements that never have content.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -138,7 +137,7 @@ def page_dom(pages: DataFrame) -> DataFrame:
     """Every column but `html`, plus the arrays `nodes` and `pieces`, one row per page."""
     kept = [f for f in pages.schema.fields if f.name != "html"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    source = spread(pages.select(*[f.name for f in kept], "html"))
+    source = pages.select(*[f.name for f in kept], "html")
     return source.mapInArrow(_parse, f"{ddl}, nodes {NODES_DDL}, pieces {PIECES_DDL}")
 
 

@@ -78,11 +78,13 @@ def jsonld(clean: Clean = strip, types: Sequence[str] = ("FAQPage", "QAPage")) -
         test = F.lit(False)
         for t in types:
             test = test | (kind == t) | F.contains(kind, F.lit(f'"{t}"'))
-        return test
+        # Any type with FAQ in its name, and any that begins with it in either case.
+        return test | F.contains(kind, F.lit("FAQ")) | F.regexp_like(kind, F.lit(r'(?i)(^|")faq'))
 
     def answer(item: Column) -> Column:
         raw = F.coalesce(item["acceptedAnswer"], item["answer"])
-        return F.when(raw.startswith("{"), F.get_json_object(raw, "$.text")).otherwise(raw)
+        listed = F.get_json_object(raw, "$[0].text")
+        return F.when(raw.startswith("{"), F.get_json_object(raw, "$.text")).when(raw.startswith("["), listed).otherwise(raw)
 
     def docs(script: Column) -> Column:
         top = F.coalesce(F.from_json(script["raw"], _LD), F.array().cast(_LD))

@@ -146,19 +146,22 @@ def robots_sitemaps(robots: DataFrame, site: str = "site", body: str = "body") -
 
 
 def expand_sitemap_index(
-    entries: DataFrame, roots: DataFrame, cap: int | None = None, max_rounds: int = 20
+    entries: DataFrame, roots: DataFrame, cap: int | None = None, max_rounds: int | None = None
 ) -> DataFrame:
     """(loc, path): page addresses of sitemaps and of the sitemaps they name, first place of each, in reading order.
 
     `entries(sitemap, kind, pos, loc)` with kind `sitemap` or `url` as read_sitemaps gives them; `roots(sitemap, pos)`.
-    `path` is the place in the tree and sorts in reading order, sub-sitemaps before own pages.
+    `path` is the place in the tree and sorts in reading order, sub-sitemaps before own pages. A sitemap is opened once, so
+    cycles end. The tree is followed to its end; with `max_rounds` a deeper tree is an error, never a shorter result.
     """
     front = cut_lineage(roots.select("sitemap", F.array(F.col("pos").cast("long")).alias("path")))
     front = first_seen = cut_lineage(front.groupBy("sitemap").agg(F.min("path").alias("path")))
     pages: DataFrame | None = None
-    for _ in range(max_rounds):
-        if front.isEmpty():
-            break
+    rounds = 0
+    while not front.isEmpty():
+        if max_rounds is not None and rounds >= max_rounds:
+            raise ValueError(f"sitemaps are nested deeper than {max_rounds}")
+        rounds += 1
         rows = entries.join(front, "sitemap")
         order = F.when(F.col("kind") == "sitemap", F.lit(0)).otherwise(F.lit(1)).cast("long")
         placed = cut_lineage(

@@ -29,7 +29,7 @@ def row_number_by(
     added as an offset.
     """
     if largest_group(df, keys) <= max_group:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The part number must not move between the jobs below, so it is written down first.
     parts = cut_lineage(
@@ -41,4 +41,4 @@ def row_number_by(
     local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
     same = [local[k].eqNullSafe(offsets[k]) for k in keys] + [local["_part"] == offsets["_part"]]
     joined = local.join(offsets, same)
-    return joined.select(*[local[c] for c in df.columns], (F.col("_rn") + F.col("_offset")).cast("int").alias(out))
+    return joined.select(*[local[c] for c in df.columns], (F.col("_rn") + F.col("_offset")).cast("long").alias(out))

@@ -164,10 +164,22 @@ def diff_rows(
     """
     blank = F.lit("")
     if mode == "key":
-        l = t1.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], _row(t1).alias("_l"))
-        r = t2.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], _row(t2).alias("_r"))
-        joined = l.join(r, [f"_k{i}" for i in range(len(key))], "full_outer")
-        pk = F.concat_ws(",", *[F.col(f"_k{i}").cast("string") for i in range(len(key))])
+        # Rows that share a key are numbered by their contents, so they are paired one to one; null keys are equal.
+        names = [f"_k{i}" for i in range(len(key))]
+
+        def keyed(df: DataFrame, side: str) -> DataFrame:
+            rows = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], _row(df).alias(side))
+            # Shared columns only, as text, so that equal rows get equal digests on both sides.
+            shared = [c for c in t1.columns if c in t2.columns]
+            text = F.to_json(F.struct(*[F.col(side)[c].cast("string").alias(c) for c in shared]))
+            return row_number_by(rows.withColumn("_h", F.md5(text)), names, [F.col("_h")], "_copy").drop("_h")
+
+        l, r = keyed(t1, "_l").alias("l"), keyed(t2, "_r").alias("r")
+        on = reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in [*names, "_copy"]])
+        joined = l.join(r, on, "full_outer").select(
+            *[F.coalesce(F.col(f"l.{n}"), F.col(f"r.{n}")).alias(n) for n in names], "_l", "_r"
+        )
+        pk = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
         issue = (
             F.when(F.col("_r").isNull(), "Row missing in db2")
             .when(F.col("_l").isNull(), "Row missing in db1")
@@ -178,7 +190,9 @@ def diff_rows(
         rows = rows.filter(~both | (F.col("_d") != ""))
         return _report(rows, table=F.lit(table), issue=issue, column_or_pk=pk, details=F.col("_d"), db1_info=blank, db2_info=blank)
     if mode == "positional":
-        order1, order2 = [F.col(k) for k in key], [F.col(k) for k in key]
+        # Without a key the rows are ordered by all shared columns.
+        by = list(key) or [c for c in t1.columns if c in t2.columns]
+        order1, order2 = [F.col(k) for k in by], [F.col(k) for k in by]
         l = _numbered(t1, order1).select("_no", _row(t1).alias("_l"))
         r = _numbered(t2, order2).select("_no", _row(t2).alias("_r"))
         rows = l.join(r, "_no")

@@ -12,6 +12,7 @@ from qaforge.functions import text as T
 from qaforge.operators import dedupe as D
 from qaforge.operators import extract as X
 from qaforge.operators.dom import page_dom
+from qaforge.rules.lexicons import CONTRACTIONS
 from qaforge.operators.prompts import system_prompt_for_pair, to_chat_records
 
 
@@ -22,9 +23,7 @@ def clean_pairs(
 
     `keys` are compared in lower case; `scope` limits the comparison, e.g. to a page.
     """
-    clean = pairs.withColumns(
-        {"question": T.clean_text_numbered(F.col("question")), "answer": T.clean_text_numbered(F.col("answer"))}
-    )
+    clean = pairs.withColumns({c: T.clean_text_numbered(F.col(c), CONTRACTIONS) for c in ("question", "answer")})
     long_enough = T.min_length(clean, q_min=5, a_min=5)
     key: list[Column] = [F.col(c) for c in scope] + [F.lower(F.col(c)) for c in keys]
     first = D.first_per_key(long_enough, key, [F.col(c) for c in order])

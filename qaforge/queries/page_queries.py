@@ -235,7 +235,8 @@ def read_sitemaps_query(spark, d):
 @query(
     "expand_sitemap_index",
     """SELECT 'http://shop.example/c/' || c_custkey AS loc FROM customer
-    UNION SELECT 'http://shop.example/s/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    UNION SELECT 'http://shop.example/s/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION SELECT 'http://shop.example/e/' || n_nationkey FROM nation""",
 )
 def expand_sitemap_index(spark, d):
     def page(kind, key):
@@ -251,8 +252,12 @@ def expand_sitemap_index(spark, d):
         .unionByName(entries("customer", page("n", "c_nationkey"), "url", "c_custkey", page("c", "c_custkey")))
         .unionByName(entries("supplier", page("n", "s_nationkey"), "url", "s_suppkey", page("s", "s_suppkey")))
         .unionByName(entries("nation", page("n", "n_nationkey"), "sitemap", "n_regionkey", page("r", "n_regionkey")))
+        # A chain: each nation's own sitemap names the next one's, and a page.
+        .unionByName(entries("nation", page("d", "n_nationkey"), "sitemap", "n_nationkey", F.concat(F.lit("http://shop.example/d/"), F.col("n_nationkey") + 1)))
+        .unionByName(entries("nation", page("d", "n_nationkey"), "url", "n_nationkey", page("e", "n_nationkey")))
     )
     roots = table(spark, d, "region").select(page("r", "r_regionkey").alias("sitemap"), F.col("r_regionkey").alias("pos"))
+    roots = roots.unionByName(roots.select(F.replace("sitemap", F.lit("/r/"), F.lit("/d/")).alias("sitemap"), "pos").filter("pos = 0"))
     return K.expand_sitemap_index(rows, roots).select("loc")
 
 
@@ -470,9 +475,9 @@ def site_corpus_pages(spark, d):
 
 @query(
     "grouped_by_url",
-    f"""WITH {LINKS_CTE}, g AS (SELECT src AS url, CAST(pos // 4 AS BIGINT) AS part, string_agg(href || '>' || pos, ' ' ORDER BY pos, href) AS faqs FROM links GROUP BY ALL) SELECT url, part, faqs FROM g""",
+    f"""WITH {LINKS_CTE}, g AS (SELECT src AS url, string_agg(href || '>' || pos, ' ' ORDER BY pos, href) AS faqs FROM links GROUP BY ALL) SELECT url, faqs FROM g""",
 )
 def grouped_by_url_query(spark, d):
     links = _links(spark, d).select(F.col("src").alias("url"), "pos", F.col("href").alias("question"), F.col("pos").cast("string").alias("answer"))
-    out = grouped_by_url(links, per_row=4)
+    out = grouped_by_url(links)
     return out.withColumn("faqs", F.array_join(F.transform("faqs", lambda f: F.concat(f["Q"], F.lit(">"), f["A"])), " "))

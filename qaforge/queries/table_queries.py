@@ -236,7 +236,7 @@ def _lines(spark, d):
     def msg(role, content):
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-    good = F.array(msg("system", F.lit("s")), msg("user", F.substr(text, F.lit(1), F.lit(20))), msg("assistant", text))
+    good = F.array(msg("system", F.lit("s")), msg("user", text), msg("assistant", text))
 
     def record(messages):
         return F.to_json(F.struct(messages.alias("messages")))

@@ -260,19 +260,24 @@ LOGIC_WORDS = ["and", "or", "if", "then", "else", "not", "except"]
 
 # Single technical words of four letters or more (shorter or two-word terms can never match a
 # token of the complexity test, so they are not listed).
-TECHNICAL_WORDS = """
-integration deployment database server framework library code algorithm model function parameter variable object
-class method error exception performance scalability optimization architecture protocol endpoint token
-authentication authorization encryption compression latency throughput bandwidth cloud container docker kubernetes
-microservice monolith distributed concurrent parallel thread process memory disk storage network socket port
-firewall cache queue message event stream batch pipeline data analytics visualization dashboard report schema table
-column index value json yaml toml config settings environment secret vault monitoring logging alert notification
-incident ticket support uptime downtime backup restore snapshot replication failover security compliance audit
-policy governance risk threat vulnerability patch update upgrade release version branch merge commit push clone
-fork issue feature task story epic sprint kanban scrum agile waterfall devops test mock stub assert coverage lint
-profiling benchmark trace debug print output input mobile desktop application service daemon agent worker scheduler
-cron timer callback promise future async await lock mutex semaphore deadlock starvation priority
-""".split()
+TECHNICAL_WORDS = [
+    "integration", "deployment", "database", "server", "framework", "library", "code", "algorithm", "model",
+    "function", "parameter", "variable", "object", "class", "method", "error", "exception", "performance",
+    "scalability", "optimization", "architecture", "protocol", "endpoint", "token", "authentication", "authorization",
+    "encryption", "compression", "latency", "throughput", "bandwidth", "cloud", "container", "docker", "kubernetes",
+    "microservice", "monolith", "distributed", "concurrent", "parallel", "thread", "process", "memory", "disk",
+    "storage", "network", "socket", "port", "firewall", "cache", "queue", "message", "event", "stream", "batch",
+    "pipeline", "data", "analytics", "visualization", "dashboard", "report", "schema", "table", "column", "index",
+    "value", "json", "yaml", "toml", "config", "settings", "environment", "secret", "vault", "monitoring", "logging",
+    "alert", "notification", "incident", "ticket", "support", "uptime", "downtime", "backup", "restore", "snapshot",
+    "replication", "failover", "security", "compliance", "audit", "policy", "governance", "risk", "threat",
+    "vulnerability", "patch", "update", "upgrade", "release", "version", "branch", "merge", "commit", "push", "clone",
+    "fork", "issue", "feature", "task", "story", "epic", "sprint", "kanban", "scrum", "agile", "waterfall", "devops",
+    "test", "mock", "stub", "assert", "coverage", "lint", "profiling", "benchmark", "trace", "debug", "print",
+    "output", "input", "mobile", "desktop", "application", "service", "daemon", "agent", "worker", "scheduler",
+    "cron", "timer", "callback", "promise", "future", "async", "await", "lock", "mutex", "semaphore", "deadlock",
+    "starvation", "priority",
+]
 
 # Slang of the age groups, tried in order, with persona suffix and tone.
 AGE_SLANG = {

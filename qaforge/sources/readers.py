@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
@@ -79,8 +80,8 @@ def _decode(content: pd.Series) -> pd.Series:
         if data[:2] == b"\x1f\x8b":
             try:
                 data = gzip.decompress(data)
-            except OSError:
-                pass
+            except (OSError, EOFError, zlib.error):  # cut off or damaged
+                return None
         return data.decode("utf-8", errors="ignore")
 
     return content.map(one)

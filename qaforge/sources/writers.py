@@ -37,22 +37,22 @@ def write_partitioned(df: DataFrame, path: str, by: str, mode: str = "overwrite"
 
 
 def grouped_by_url(
-    df: DataFrame, url: str = "url", pos: str = "pos", q: str = "question", a: str = "answer", per_row: int = 10_000
+    df: DataFrame, url: str = "url", pos: str = "pos", q: str = "question", a: str = "answer", per_row: int | None = None
 ) -> DataFrame:
-    """(url, part, faqs): the pairs of an address in order.
+    """(url, faqs): the pairs of an address in order, one row per address.
 
-    An address with more than `per_row` places fills several rows (`part` counts them), so no row grows without end.
+    With `per_row`, an address with more places fills several rows, counted by a further column `part`.
     """
-    part = F.floor(F.col(pos) / per_row).cast("int")
+    part = F.lit(0) if per_row is None else F.floor(F.col(pos) / per_row).cast("int")
     item = F.struct(F.col(pos).alias("pos"), F.col(q).alias("Q"), F.col(a).alias("A"))
     grouped = df.groupBy(url, part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("f"))
     return grouped.select(
-        url, "part", F.transform("f", lambda x: F.struct(x["Q"].alias("Q"), x["A"].alias("A"))).alias("faqs")
+        url, *([] if per_row is None else ["part"]), F.transform("f", lambda x: F.struct(x["Q"].alias("Q"), x["A"].alias("A"))).alias("faqs")
     )
 
 
 def write_grouped_by_url(df: DataFrame, path: str, mode: str = "overwrite", **cols: str) -> None:
-    grouped_by_url(df, **cols).drop("part").write.mode(mode).json(path)
+    grouped_by_url(df, **cols).write.mode(mode).json(path)
 
 
 def write_report_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
