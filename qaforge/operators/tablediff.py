@@ -164,21 +164,25 @@ def diff_rows(
     """
     blank = F.lit("")
     if mode == "key":
-        # Rows that share a key are numbered by their contents, so they are paired one to one; null keys are equal.
+        # Equal rows of a key are paired first, copy by copy; what is left of a key is paired in order of its contents. Null keys are equal.
         names = [f"_k{i}" for i in range(len(key))]
+        shared = [c for c in t1.columns if c in t2.columns]
 
         def keyed(df: DataFrame, side: str) -> DataFrame:
             rows = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], _row(df).alias(side))
-            # Shared columns only, as text, so that equal rows get equal digests on both sides.
-            shared = [c for c in t1.columns if c in t2.columns]
             text = F.to_json(F.struct(*[F.col(side)[c].cast("string").alias(c) for c in shared]))
-            return row_number_by(rows.withColumn("_h", F.md5(text)), names, [F.col("_h")], "_copy").drop("_h")
-
-        l, r = keyed(t1, "_l").alias("l"), keyed(t2, "_r").alias("r")
-        on = reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in [*names, "_copy"]])
-        joined = l.join(r, on, "full_outer").select(
-            *[F.coalesce(F.col(f"l.{n}"), F.col(f"r.{n}")).alias(n) for n in names], "_l", "_r"
-        )
+            return row_number_by(rows.withColumn("_h", F.md5(text)), [*names, "_h"], [F.lit(0)], "_copy")
+
+        def same(by: Sequence[str]) -> Column:
+            return reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in by])
+
+        every = [*names, "_h", "_copy"]
+        l, r = keyed(t1, "_l"), keyed(t2, "_r")
+        equal = l.alias("l").join(r.alias("r"), same(every)).select(*[F.col(f"l.{n}").alias(n) for n in names], "_l", "_r")
+        left = row_number_by(l.alias("l").join(r.alias("r"), same(every), "left_anti"), names, [F.col("_h")], "_no")
+        right = row_number_by(r.alias("l").join(l.alias("r"), same(every), "left_anti"), names, [F.col("_h")], "_no")
+        rest = left.alias("l").join(right.alias("r"), same([*names, "_no"]), "full_outer")
+        joined = equal.unionByName(rest.select(*[F.coalesce(F.col(f"l.{n}"), F.col(f"r.{n}")).alias(n) for n in names], "_l", "_r"))
         pk = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
         issue = (
             F.when(F.col("_r").isNull(), "Row missing in db2")

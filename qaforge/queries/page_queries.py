@@ -451,12 +451,12 @@ def extract_qa(spark, d):
 
 @query(
     "extract_qa_first_hit",
-    f"WITH {DOC_QA_CTE}, t AS (SELECT pos AS page_id, {clean_sql('''(question || '?')''')} AS question, {_a} AS answer FROM qa) SELECT page_id, 'definition_list' AS rule, question, answer FROM t WHERE answer <> ''",
+    f"WITH {DOC_QA_CTE}, t AS (SELECT pos AS page_id, {clean_sql('''(question || '?')''')} AS question, {clean_sql('''('Reply ' || answer)''')} AS answer FROM qa) SELECT page_id, 'definition_list' AS rule, question, answer FROM t",
 )
 def extract_qa_first_hit(spark, d):
-    # Pages without an answer are left to later rules, which the comparison does not follow.
-    found = X.extract_qa(D.page_dom(_written(spark, d, _MIXED)), mode="first_hit")
-    return found.filter("rule = 'definition_list'").select("page_id", "rule", "question", "answer")
+    # Every page has an answer for the first rule that fits it, so later rules give nothing.
+    found = X.extract_qa(D.page_dom(_written(spark, d, _MIXED.replace("<dd>{a}", "<dd>Reply {a}"))), mode="first_hit")
+    return found.select("page_id", "rule", "question", "answer")
 
 
 @query("site_corpus")

@@ -1,6 +1,6 @@
 """System prompts, training records and incremental forms over whole tables."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,6 +8,7 @@ from qaforge.functions import labels as L
 from qaforge.operators import prompts as P
 from qaforge.plans.site_corpus import conversation_pairs
 from qaforge.operators.retrieval import score_response
+from qaforge.session import checkpoint_dir
 from qaforge.queries.base import (
     PAIRS_CTE, cue, cue_sql, keywords_sql, lit, lookup_sql, prompts, query, strip_sql, table,
 )
@@ -285,14 +286,7 @@ def first_system_prompt(spark, d):
 # ---------------------------------------------------------------- composed and incremental
 
 
-@query(
-    "chat_training_set",
-    f"""WITH {PAIRS_CTE}, c AS (SELECT conv_id, turn, question, answer FROM pairs WHERE length(question) >= 5 AND length(answer) >= 20
-      QUALIFY row_number() OVER (PARTITION BY lower(question) ORDER BY conv_id, turn, answer) = 1),
-    k AS (SELECT *, list_distinct({keywords_sql('question')}) AS a, list_distinct({keywords_sql('answer')}) AS b FROM c)
-    SELECT conv_id, turn, question, round(CASE WHEN len(a) + len(b) - len(list_intersect(a, b)) > 0 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END + least(length(answer) / 600.0::DOUBLE, 0.3::DOUBLE), 6) AS score FROM k""",
-)
-def chat_training_set(spark, d):
+def chat_records(spark, d):
     """Turns paired, trimmed by length, de-duplicated, scored and written as labelled chat records."""
     from qaforge.operators.dedupe import first_per_key
 
@@ -303,7 +297,27 @@ def chat_training_set(spark, d):
     )
     prompted = P.system_prompt_for_pair(labelled)
     records = P.to_chat_records(prompted, F.col("system_prompt"))
-    return records.filter(F.size("messages") == 3).select("conv_id", "turn", "question", "score")
+    return records.filter(F.size("messages") == 3)
+
+
+@query(
+    "chat_training_set",
+    f"""WITH {PAIRS_CTE}, c AS (SELECT conv_id, turn, question, answer FROM pairs WHERE length(question) >= 5 AND length(answer) >= 20
+      QUALIFY row_number() OVER (PARTITION BY lower(question) ORDER BY conv_id, turn, answer) = 1),
+    k AS (SELECT *, list_distinct({keywords_sql('question')}) AS a, list_distinct({keywords_sql('answer')}) AS b FROM c)
+    SELECT conv_id, turn, question, answer, 'system|user|assistant' AS roles, round(CASE WHEN len(a) + len(b) - len(list_intersect(a, b)) > 0 THEN len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END + least(length(answer) / 600.0::DOUBLE, 0.3::DOUBLE), 6) AS score FROM k""",
+)
+def chat_training_set(spark, d):
+    """The records' user and assistant messages, roles and score; all messages are built."""
+    content = lambda i: F.col("messages")[i]["content"]
+    roles = F.array_join(F.transform("messages", lambda m: m["role"]), "|")
+    return chat_records(spark, d).select("conv_id", "turn", content(1).alias("question"), content(2).alias("answer"), roles.alias("roles"), "score")
+
+
+# The drawn-up system prompt follows the question's labels, which the label queries check one by one.
+@query("chat_training_records")
+def chat_training_records(spark, d):
+    return chat_records(spark, d).select("conv_id", "turn", "intent", "complexity", "system_prompt", "messages", "score")
 
 
 def _stream(spark, d, name):
@@ -312,14 +326,12 @@ def _stream(spark, d, name):
 
 
 def _scratch(spark):
-    return tempfile.mkdtemp(prefix="qaforge-stream-") if spark.sparkContext.master.startswith("local") else (
-        f"{spark.conf.get('spark.checkpoint.dir')}/qaforge-stream-{spark.sparkContext.applicationId}"
-    )
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_label", "SELECT conv_id, turn, md5(text) AS q, length(text) > 0 AS labelled FROM conversations")
 def stream_label(spark, d):
-    at = tempfile.mktemp(dir=_scratch(spark))
+    at = _scratch(spark)
     J.stream_label(_stream(spark, d, "conversations"), f"{at}/out", f"{at}/state").awaitTermination()
     out = spark.read.schema("conv_id long, turn long, text string, intent string").json(f"{at}/out")
     return out.select("conv_id", "turn", F.md5("text").alias("q"), F.col("intent").isNotNull().alias("labelled"))
@@ -330,7 +342,7 @@ def stream_label(spark, d):
     "SELECT CAST(user_id AS VARCHAR) AS user_prompt, event_type AS response, coalesce(max(event_id) FILTER (WHERE event_id % 5 = 0), min(event_id)) AS seq FROM events GROUP BY ALL",
 )
 def stream_log_upsert(spark, d):
-    at = tempfile.mktemp(dir=_scratch(spark))
+    at = _scratch(spark)
     log = _stream(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("user_prompt"), F.col("event_type").alias("response"),
         F.when(F.col("event_id") % 5 == 0, F.lit("good")).alias("rating"), F.lit("").alias("rating_msg"),
@@ -339,11 +351,11 @@ def stream_log_upsert(spark, d):
     return J.latest_log(spark, f"{at}/log").select("user_prompt", "response", "seq")
 
 
-@query("stream_pages_to_qa", "SELECT DISTINCT url FROM pages")
+@query("stream_pages_to_qa", "SELECT DISTINCT url, 'Is it here?' AS question, 'Yes, it is here.' AS answer FROM pages")
 def stream_pages_to_qa(spark, d):
-    at = tempfile.mktemp(dir=_scratch(spark))
+    at = _scratch(spark)
     pages = _stream(spark, d, "pages").withColumn("html", F.concat(F.lit("<dl><dt>Is it here?</dt><dd>Yes, it is here.</dd></dl>"), "html"))
     J.stream_pages_to_qa(pages, f"{at}/out", f"{at}/state", rules=["definition_list"]).awaitTermination()
-    return spark.read.schema("url string, question string, answer string").json(f"{at}/out").select("url")
+    return spark.read.schema("url string, question string, answer string").json(f"{at}/out")
 
 

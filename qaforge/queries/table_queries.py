@@ -142,6 +142,29 @@ def diff_rows(spark, d):
     )
 
 
+_KEYED = """WITH a AS (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS k, o_orderpriority AS p FROM orders)"""
+
+
+@query("diff_rows_same", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS differences FROM orders")
+def diff_rows_same(spark, d):
+    """A table with null and repeated keys against itself: no difference."""
+    rows = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("k"), F.col("o_orderpriority").alias("p"))
+    found = TD.diff_rows(rows, rows, "orders", ["k"]).agg(F.count(F.lit(1)).alias("differences"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).join(found, F.lit(True))
+
+
+@query(
+    "diff_rows_keys",
+    f"""{_KEYED}, n AS (SELECT k, p, count(*) AS c FROM a GROUP BY ALL)
+    SELECT 'Row missing in db1' AS issue, coalesce(k::VARCHAR, '') AS column_or_pk, '' AS details FROM n, range(c) WHERE k IS NULL OR k % 2 = 0""",
+)
+def diff_rows_keys(spark, d):
+    """The same table with null and repeated keys, once whole and once twice over for null and even keys."""
+    rows = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("k"), F.col("o_orderpriority").alias("p"))
+    more = rows.unionByName(rows.filter("k is null or k % 2 = 0"))
+    return TD.diff_rows(rows, more, "orders", ["k"]).select("issue", "column_or_pk", "details")
+
+
 @query(
     "diff_rows_details",
     """SELECT 'customer' AS "table", 'Content differs' AS issue, CAST(c_custkey AS VARCHAR) AS column_or_pk,

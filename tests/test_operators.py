@@ -208,3 +208,44 @@ def test_stream_upsert_over_two_runs(spark, tmp_path):
 
     assert run([(1, "p", "r", None, None), (2, "q", "r", None, None)]) == [1, 2]
     assert run([(3, "p", "r", "5", None), (4, "q", "r", None, None)]) == [2, 3]
+
+
+def test_sitemap_chain_is_followed_to_its_end(spark):
+    from qaforge.operators import links as K
+
+    rows = [(f"s{i}", "sitemap", 0, f"s{i + 1}") for i in range(40)] + [("s40", "url", 0, "page"), ("s40", "sitemap", 1, "s3")]
+    entries = spark.createDataFrame(rows, "sitemap string, kind string, pos long, loc string")
+    roots = spark.createDataFrame([("s0", 0)], "sitemap string, pos long")
+    got = K.expand_sitemap_index(entries, roots).collect()
+    assert [(r.loc, len(r.path)) for r in got] == [("page", 83)]
+    with pytest.raises(ValueError, match="nested deeper"):
+        K.expand_sitemap_index(entries, roots, max_rounds=20)
+
+
+def test_zero_vectors_score_zero(spark):
+    from qaforge.functions.vectors import cosine
+
+    df = spark.sql("SELECT array(0.0, 0.0) AS a, array(1.0, 0.0) AS b UNION ALL SELECT array(1.0, 0.0), array(1.0, 0.0) UNION ALL SELECT NULL, array(1.0)")
+    assert [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, None]
+
+
+def test_damaged_gzip_gives_null(spark, tmp_path):
+    import gzip
+
+    from qaforge.sources.readers import read_sitemaps
+
+    body = b"<urlset><url><loc>http://a/1</loc></url></urlset>"
+    (tmp_path / "whole.gz").write_bytes(gzip.compress(body))
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(body * 50)[:40])
+    assert [r.loc for r in read_sitemaps(str(tmp_path), spark).collect()] == ["http://a/1"]
+
+
+def test_keyed_diff_pairs_repeated_and_null_keys(spark):
+    from qaforge.operators import tablediff as TD
+
+    one = spark.createDataFrame([(None, "x"), (1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    assert TD.diff_rows(one, one, "t", ["k"]).isEmpty()
+    assert TD.diff_rows(one, one, "t", (), "positional").isEmpty()
+    two = spark.createDataFrame([(None, "y"), (1, "b"), (1, "b"), (1, "a")], "k int, v string")
+    got = sorted((r.issue, r.column_or_pk, r.details) for r in TD.diff_rows(one, two, "t", ["k"]).collect())
+    assert got == [("Content differs", "", "v: x -> y"), ("Row missing in db1", "1", ""), ("Row missing in db2", "2", "")]
