@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from qaforge.session import checkpoint_dir
 
 # Bytes of text that one vectorised step works on; a longer text is a step of its own.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 # ---------------------------------------------------------------- tables
