@@ -6,6 +6,7 @@ import difflib
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,31 @@ def dedupe_either_side(df: DataFrame, scope: str = "url", q: str = "question", a
     return rows.join(kept.select("_q", "_a", F.col("_pos").alias(pos)), ["_q", "_a", pos], "left_semi").select(*df.columns)
 
 
+def _places(text: str) -> dict[str, int]:
+    """For each character of a text the set of its places, as the bits of an integer."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+
+
+def common_in_order(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a word of bits at a time (Hyyrö)."""
+    low, least = 0, min(len(x), len(y))
+    while low < least and x[low] == y[low]:
+        low += 1
+    high = 0
+    while high < least - low and x[-1 - high] == y[-1 - high]:
+        high += 1
+    x, y = x[low : len(x) - high], y[low : len(y) - high]
+    if not x or not y:
+        return low + high
+    places, full = _places(x), (1 << len(x)) - 1
+    rows = full
+    for char in y:
+        met = rows & places.get(char, 0)
+        rows = ((rows + met) | (rows - met)) & full
+    return low + high + len(x) - rows.bit_count()
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(later: pd.Series, earlier: pd.Series, least: pd.Series) -> pd.Series:
     """Sequence-match ratio, later text first; a pair that cannot reach the threshold gets -1."""
@@ -130,8 +156,9 @@ def _ratio(later: pd.Series, earlier: pd.Series, least: pd.Series) -> pd.Series:
     def one(x: str, y: str, t: float) -> float:
         if x == y:
             return 1.0
-        # Characters in common, whatever their order, bound the ratio from above and are cheap to count.
-        if 2.0 * (bag(x) & bag(y)).total() / (len(x) + len(y)) < t:
+        # Bounds from above, the cheaper one first: characters in common whatever their order, then in order.
+        need = t * (len(x) + len(y)) / 2.0
+        if (bag(x) & bag(y)).total() < need - 1e-6 or common_in_order(x, y) < need - 1e-6:
             return -1.0
         return difflib.SequenceMatcher(None, x, y).ratio()
 

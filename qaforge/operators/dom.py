@@ -6,6 +6,7 @@ its own row, so no rule shuffles, and the parse runs once however many rules fol
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaforge.functions.common import texts
+from qaforge.functions.common import let, texts
 from qaforge.rules import lexicons as R
 
 # Elements that never have content.
@@ -50,6 +51,7 @@ class _Flat(HTMLParser):
         self.pieces: list[dict] = []
         self.open: list[dict] = []
         self.children: dict[int, int] = {}
+        self.counts: Counter = Counter()  # open elements by tag
         self.buffer: list[str] = []
 
     def _flush(self) -> None:
@@ -82,6 +84,7 @@ class _Flat(HTMLParser):
         self.nodes.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -90,9 +93,10 @@ class _Flat(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        if any(n["tag"] == tag for n in self.open):
+        if self.counts[tag]:
             while True:
                 node = self.open.pop()
+                self.counts[node["tag"]] -= 1
                 self._close(node)
                 if node["tag"] == tag:
                     break
@@ -152,7 +156,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
     dom = pages if "nodes" in pages.columns else page_dom(pages)
     kept = [c for c in dom.columns if c not in ("nodes", "pieces")]
     n = F.col("n")
-    return dom.select(*kept, "pieces", F.explode("nodes").alias("n")).select(
+    return dom.select(*kept, "pieces", F.explode(F.filter("nodes", lambda e: e["tag"] != "")).alias("n")).select(
         *kept,
         n["id"].alias("node_id"), n["end"].alias("end_id"), n["parent"].alias("parent_id"),
         n["depth"].alias("depth"), n["sib"].alias("sib_idx"), n["tag"].alias("tag"), n["attrs"].alias("attrs"),
@@ -168,16 +172,19 @@ def has_attr(node: Column, name: str) -> Column:
     return F.map_contains_key(node["attrs"], name)
 
 
-def within(inner: Column, outer: Column) -> Column:
-    """Strictly below an element."""
-    return (inner["id"] > outer["id"]) & (inner["id"] <= outer["end"])
+def below(outer: Column) -> Column:
+    """The elements under an element, which follow it in page order."""
+    return F.slice("nodes", outer["id"] + 2, outer["end"] - outer["id"])
 
 
 def drop_noise(
     dom: DataFrame, tags: Sequence[str] = tuple(R.NOISE_TAGS), ids: Sequence[str] = (), classes: Sequence[str] = (),
     roles: Sequence[str] = (), exact_ids: Sequence[str] = (),
 ) -> DataFrame:
-    """Remove the subtrees of noisy elements: by tag, by part of id or class, by whole id, by role."""
+    """Remove the subtrees of noisy elements: by tag, by part of id or class, by whole id, by role.
+
+    Removed elements keep their place without tag and attributes, so an element's id stays its index.
+    """
 
     def noisy(n: Column) -> Column:
         test = n["tag"].isin(list(tags)) if tags else F.lit(False)
@@ -199,14 +206,27 @@ def drop_noise(
             (F.size(acc) > 0) & (n["id"] <= F.element_at(acc, -1)["end"]), acc
         ).otherwise(F.array_append(acc, F.struct(n["id"].alias("id"), n["end"].alias("end")))),
     )
-    marked = dom.withColumn("_cut", spans)
+
+    def flags(cut: Column) -> Column:
+        def part(s: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(cut, k - 1)["end"], F.lit(-1))
+            return F.concat(F.array_repeat(F.lit(False), s["id"] - before - 1), F.array_repeat(F.lit(True), s["end"] - s["id"] + 1))
+
+        return F.flatten(F.transform(cut, part))
+
+    marked = dom.withColumn("_cut", let(spans, flags))
 
     def inside(i: Column) -> Column:
-        return F.exists(F.col("_cut"), lambda s: (i >= s["id"]) & (i <= s["end"]))
+        return F.coalesce(F.get(F.col("_cut"), i), F.lit(False))
+
+    def blank(n: Column) -> Column:
+        kept = [n[c].alias(c) for c in ("id", "end", "parent", "depth", "sib")]
+        none = F.create_map().cast("map<string,string>")
+        return F.struct(*kept, F.lit("").alias("tag"), none.alias("attrs"), n["t0"].alias("t0"), n["t1"].alias("t1"), F.lit(None).cast("string").alias("raw"))
 
     return marked.withColumns(
         {
-            "nodes": F.filter("nodes", lambda n: ~inside(n["id"])),
+            "nodes": F.transform("nodes", lambda n: F.when(inside(n["id"]), blank(n)).otherwise(n)),
             # Blanked and not removed, so that the text spans of the elements stay valid.
             "pieces": F.transform(
                 "pieces",
@@ -238,5 +258,5 @@ def raw_text(dom: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "attr", "dom_nodes", "drop_noise", "has_attr", "node_text", "page_dom", "page_text", "raw_text", "texts", "within",
+    "attr", "below", "dom_nodes", "drop_noise", "has_attr", "node_text", "page_dom", "page_text", "raw_text", "texts",
 ]

@@ -2,6 +2,9 @@
 
 Each rule is an expression over one page's arrays (see dom.py) that yields an array of (pos, question, answer).
 `extract_qa` evaluates the chosen rules side by side on the same parsed page, with no shuffle between them.
+
+An element's id is its index, so what lies under it is a slice, and the next element of a kind is found by counting: no rule scans the page
+once per candidate.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from qaforge.functions import text as T
 from qaforge.functions.common import WS, let, lines, strip, words
-from qaforge.operators.dom import attr, drop_noise, has_attr, node_text, within
+from qaforge.operators.dom import attr, below, drop_noise, has_attr, node_text
 from qaforge.rules import lexicons as R
 
 PAIRS = "array<struct<pos:int,question:string,answer:string>>"
@@ -37,12 +40,46 @@ def _tag(*names: str) -> Callable[[Column], Column]:
     return lambda n: n["tag"].isin(list(names))
 
 
+def _at(i: Column) -> Column:
+    return F.get(F.col("nodes"), i)
+
+
 def _inside(outer: Column, test: Callable[[Column], Column]) -> Column:
-    return _nodes(lambda n: within(n, outer) & test(n))
+    return F.filter(below(outer), test)
+
+
+def _next_ids(test: Callable[[Column], Column]) -> Column:
+    """By element id, the id of the next element of the page that passes; ends where no more do."""
+
+    def fill(ids: Column) -> Column:
+        return F.flatten(F.transform(ids, lambda i, k: F.array_repeat(i, i - F.coalesce(F.get(ids, k - 1), F.lit(0)))))
+
+    return let(F.transform(_nodes(test), lambda n: n["id"]), fill)
+
 
+def _with_next(marks: Column, test: Callable[[Column], Column], build: Callable[[Column, Column], Column]) -> Column:
+    """`build(mark, next)` for each mark in page order; next is the first later sibling that passes, or null.
 
-def _siblings_after(node: Column, test: Callable[[Column], Column] = lambda n: F.lit(True)) -> Column:
-    return _nodes(lambda n: (n["parent"] == node["parent"]) & (n["id"] > node["id"]) & test(n))
+    Marks and siblings are sorted together by parent; what stands before a mark and is no mark tells the place of its next one.
+    """
+
+    def keyed(nodes: Column, kind: int) -> Column:
+        return F.transform(nodes, lambda n: F.struct(n["parent"].alias("parent"), n["id"].alias("id"), F.lit(kind).alias("kind")))
+
+    def found(entries: Column) -> Column:
+        asks = F.transform(entries, lambda m, k: F.when(m["kind"] == 1, F.struct(m["parent"].alias("parent"), m["id"].alias("id"), k.alias("k"))))
+
+        def pairs(blocks: Column) -> Column:
+            def one(ask: Column, j: Column) -> Column:
+                block = F.get(blocks, ask["k"] - j)
+                return F.struct(ask["id"].alias("id"), F.when(block["parent"] == ask["parent"], block["id"]).alias("next"))
+
+            return F.sort_array(F.transform(F.filter(asks, lambda x: x.isNotNull()), one))
+
+        return let(F.filter(entries, lambda m: m["kind"] == 0), pairs)
+
+    entries = F.sort_array(F.concat(keyed(_nodes(test), 0), keyed(marks, 1)))
+    return F.transform(let(entries, found), lambda m: build(_at(m["id"]), _at(m["next"])))
 
 
 def _text(node: Column) -> Column:
@@ -158,11 +195,10 @@ def details(clean: Clean = T.clean_text, content: str = "all") -> Column:
 def definition_list(clean: Clean = T.clean_text) -> Column:
     """Each term with the next definition beside it."""
 
-    def one(dt: Column) -> Column:
-        dd = _first(_siblings_after(dt, _tag("dd")))
+    def one(dt: Column, dd: Column) -> Column:
         return _pair(dt["id"], clean(node_text(dt)), clean(F.coalesce(_text(dd), F.lit(""))))
 
-    return _both(F.transform(_nodes(_tag("dt")), one))
+    return _both(_with_next(_nodes(_tag("dt")), _tag("dd"), one))
 
 
 def _predicate(name: str) -> Clean:
@@ -185,15 +221,13 @@ def heading_next(
     """Question-like heading with the first block beside it; `adjacent` wants the very next element to be it."""
     test = _predicate(predicate)
 
-    def one(h: Column) -> Column:
+    def one(h: Column, nxt: Column) -> Column:
         if adjacent:
-            nxt = _first(_siblings_after(h))
             nxt = F.when(nxt["tag"].isin(list(blocks)), nxt)
-        else:
-            nxt = _first(_siblings_after(h, _tag(*blocks)))
         return _pair(h["id"], clean(node_text(h)), clean(F.coalesce(_text(nxt), F.lit(""))))
 
-    return F.filter(_both(F.transform(_nodes(_tag(*levels)), one)), lambda p: test(p["question"]))
+    beside = _with_next(_nodes(_tag(*levels)), (lambda n: n["tag"] != "") if adjacent else _tag(*blocks), one)
+    return F.filter(_both(beside), lambda p: test(p["question"]))
 
 
 def heading_section(
@@ -204,30 +238,60 @@ def heading_section(
     """Heading with everything beside it up to the next heading."""
     test = _predicate(predicate)
 
-    def one(h: Column) -> Column:
-        def answer(after: Column) -> Column:
-            stop = F.array_position(F.transform(after, lambda n: n["tag"].isin(list(stop_tags))), F.lit(True))
-            section = F.when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after)
-            if max_steps:
-                section = F.slice(section, 1, max_steps)
-            if take_tags:
-                section = F.filter(section, _tag(*take_tags))
-            return F.array_join(F.filter(F.transform(section, lambda n: node_text(n)), lambda t: t != ""), " ")
+    def entry(n: Column) -> Column:
+        return F.struct(
+            n["parent"].alias("parent"), n["id"].alias("id"), n["tag"].isin(list(stop_tags)).alias("stop"), n["tag"].isin(list(levels)).alias("head"),
+        )
+
+    def events(order: Column) -> Column:
+        """Places of section ends (kind 0: a stop, or the first child of another parent) and of headings (kind 1), in order."""
+
+        def at(m: Column, k: Column) -> Column:
+            ends = m["stop"] | ~m["parent"].eqNullSafe(F.get(order, k - 1)["parent"])
+            return F.filter(
+                F.array(F.struct(F.lit(0).alias("kind"), k.alias("k"), ends.alias("ok")), F.struct(F.lit(1).alias("kind"), k.alias("k"), m["head"].alias("ok"))),
+                lambda e: e["ok"],
+            )
+
+        return F.flatten(F.transform(order, at))
+
+    def sections(order: Column) -> Column:
+        def each(found: Column) -> Column:
+            heads = F.filter(F.transform(found, lambda e, i: F.when(e["kind"] == 1, F.struct(e["k"].alias("k"), i.alias("i")))), lambda e: e.isNotNull())
+
+            def built(ends: Column) -> Column:
+                def one(e: Column, j: Column) -> Column:
+                    end = F.coalesce(F.get(ends, e["i"] - j)["k"], F.size(order))
+                    h = _at(F.get(order, e["k"])["id"])
+                    section = F.slice(order, e["k"] + 2, end - e["k"] - 1)
+                    section = F.transform(F.slice(section, 1, max_steps) if max_steps else section, lambda m: _at(m["id"]))
+                    if take_tags:
+                        section = F.filter(section, _tag(*take_tags))
+                    answer = F.array_join(F.filter(F.transform(section, lambda n: node_text(n)), lambda t: t != ""), " ")
+                    return _pair(h["id"], clean(node_text(h)), clean(answer))
+
+                return F.transform(heads, one)
 
-        return _pair(h["id"], clean(node_text(h)), clean(let(_siblings_after(h), answer)))
+            return let(F.filter(found, lambda e: e["kind"] == 0), built)
 
-    return F.filter(_both(F.transform(_nodes(_tag(*levels)), one)), lambda p: test(p["question"]))
+        return let(events(order), each)
+
+    order = F.sort_array(F.transform(_nodes(lambda n: n["tag"] != ""), entry))
+    return F.filter(_both(let(order, sections)), lambda p: test(p["question"]))
 
 
 def heading_find_next_p(clean: Clean = strip) -> Column:
     """Second or third level heading about questions with the next paragraph anywhere later; may be unanswered."""
 
-    def one(h: Column) -> Column:
-        p = _first(_nodes(lambda n: (n["id"] > h["id"]) & (n["tag"] == "p")))
-        return _pair(h["id"], clean(node_text(h)), clean(F.coalesce(_text(p), F.lit(""))))
+    def answered(nxt: Column) -> Column:
+        def one(h: Column) -> Column:
+            p = _at(F.get(nxt, h["id"]))
+            return _pair(h["id"], clean(node_text(h)), clean(F.coalesce(_text(p), F.lit(""))))
+
+        return F.transform(heads, one)
 
     heads = F.filter(_nodes(_tag("h2", "h3")), lambda h: node_text(h).rlike(r"(?i)faq|question|q:|\?"))
-    return F.transform(heads, one)
+    return let(_next_ids(_tag("p")), answered)
 
 
 # Fixed values: (class part, any case, question tags, answer tags, class parts of question and answer).
@@ -363,18 +427,17 @@ def topic_grid(clean: Clean = T.clean_text, css: str = "lb-grid") -> Column:
     """In each grid block: third-level heading or strong text, then the blocks up to the next one of these."""
     marks = ("h3", "strong")
 
-    def one(q: Column) -> Column:
-        def answer(stop: Column) -> Column:
-            blocks = _nodes(
-                lambda n: (n["id"] > q["id"]) & (stop.isNull() | (n["id"] < stop)) & n["tag"].isin("p", "div", "ul", "ol", "li")
-            )
-            return strip(F.array_join(F.transform(blocks, lambda n: clean(node_text(n))), " "))
+    def built(stops: Column) -> Column:
+        def one(q: Column) -> Column:
+            stop = F.coalesce(F.get(stops, q["id"]), F.size("nodes"))
+            blocks = F.filter(F.slice("nodes", q["id"] + 2, stop - q["id"] - 1), _tag("p", "div", "ul", "ol", "li"))
+            answer = strip(F.array_join(F.transform(blocks, lambda n: clean(node_text(n))), " "))
+            return _pair(q["id"], clean(node_text(q)), clean(answer))
 
-        stop = _first(_nodes(lambda n: (n["id"] > q["id"]) & n["tag"].isin(list(marks))))["id"]
-        return _pair(q["id"], clean(node_text(q)), clean(let(stop, answer)))
+        return F.flatten(F.transform(grids, lambda g: F.transform(_inside(g, _tag(*marks)), one)))
 
     grids = _nodes(lambda n: (n["tag"] == "div") & F.array_contains(words(attr(n, "class")), F.lit(css)))
-    return _both(F.flatten(F.transform(grids, lambda g: F.transform(_inside(g, _tag(*marks)), one))))
+    return _both(let(_next_ids(_tag(*marks)), built))
 
 
 def container(
@@ -393,15 +456,18 @@ def container(
         label = F.concat_ws(" ", attr(n, "class"), attr(n, "id")) if variant == "next" else attr(n, "class")
         return n["tag"].isin(outer) & label.rlike(pattern)
 
-    def one(q: Column) -> Column:
-        if variant == "next":
-            after = _first(_nodes(lambda n: (n["id"] > q["id"]) & n["tag"].isin("p", "div", "dd", "span")))
-        else:
-            after = _first(_siblings_after(q, _tag("p", "div", "span")))
-        return _pair(q["id"], clean(node_text(q)), clean(F.coalesce(_text(after), F.lit(""))))
+    def built(nxt: Column) -> Column:
+        def one(q: Column) -> Column:
+            after = _at(F.get(nxt, q["id"]))
+            return _pair(q["id"], clean(node_text(q)), clean(F.coalesce(_text(after), F.lit(""))))
 
-    found = F.flatten(F.transform(_nodes(is_outer), lambda b: F.transform(_inside(b, _tag(*inner)), one)))
-    return F.filter(_both(found), lambda p: F.size(words(p["question"])) >= n_words)
+        return F.flatten(F.transform(_nodes(is_outer), lambda b: F.transform(_inside(b, _tag(*inner)), one)))
+
+    if variant == "next":
+        after = _next_ids(_tag("p", "div", "dd", "span"))
+    else:
+        after = _with_next(F.col("nodes"), _tag("p", "div", "span"), lambda n, beside: beside["id"])
+    return F.filter(_both(let(after, built)), lambda p: F.size(words(p["question"])) >= n_words)
 
 
 # ---------------------------------------------------------------- composition

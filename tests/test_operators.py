@@ -250,3 +250,24 @@ def test_keyed_diff_pairs_repeated_and_null_keys(spark):
     two = spark.createDataFrame([(None, "y"), (1, "b"), (1, "b"), (1, "a")], "k int, v string")
     got = sorted((r.issue, r.column_or_pk, r.details) for r in TD.diff_rows(one, two, "t", ["k"]).collect())
     assert got == [("Content differs", "", "v: x -> y"), ("Row missing in db1", "1", ""), ("Row missing in db2", "2", "")]
+
+
+def test_common_in_order_against_a_table():
+    import random
+
+    from qaforge.operators.dedupe import common_in_order
+
+    def plain(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            before = 0
+            for j, b in enumerate(y):
+                before, row[j + 1] = row[j + 1], before + 1 if a == b else max(row[j + 1], row[j])
+        return row[-1]
+
+    draw = random.Random(3)
+    for size in (0, 1, 5, 70, 200):
+        for chars in ("ab", "abcdé😀 "):
+            x, y = ("".join(draw.choices(chars, k=draw.randint(0, size))) for _ in range(2))
+            assert common_in_order(x, y) == plain(x, y)
+            assert common_in_order("zz" + x + "q", "zz" + y + "q") == plain("zz" + x + "q", "zz" + y + "q")

@@ -91,3 +91,26 @@ def test_links_match_parsed_page(spark):
     pages = spark.createDataFrame([("http://h/p/", html)], "url string, html string")
     assert [r.href for r in K.extract_links(pages).orderBy("pos").collect()] == ["/a?x=1&y=2", "b", "c"]
     assert [r.dst for r in K.resolve_links(K.extract_links(pages)).orderBy("pos").collect()] == ["http://h/a?x=1&y=2", "http://h/p/b", "http://h/p/c"]
+
+
+def test_next_beside_skips_other_parents_and_noise(spark):
+    html = """<div><h3>One?</h3><nav><p>no</p></nav><section><p>deep</p></section><p>yes</p></div><p>outside</p>
+    <div><h3>Two?</h3></div><p>after</p><h3>Three?</h3><nav>x</nav><p>last</p>"""
+    assert rule(spark, X.heading_next(blocks=("p",)), html, noise=True) == [("One?", "yes"), ("Three?", "last")]
+    assert rule(spark, X.heading_next(blocks=("p",), adjacent=True), html, noise=True) == [("Three?", "last")]
+    assert rule(spark, X.heading_section(take_tags=None), html, noise=True) == [("One?", "deep yes"), ("Three?", "last")]
+
+
+def test_rules_stay_linear_in_page_size(spark):
+    import time
+
+    block = "<div class='accordion-item'><h3>How is it?</h3><p>It is.</p></div><h3>Q?</h3><p>para</p><nav>x</nav><dl><dt>t</dt><dd>d</dd></dl>"
+
+    def seconds(n):
+        dom = D.page_dom(spark.createDataFrame([(1, "u", block * n)], "page_id long, url string, html string"))
+        start = time.perf_counter()
+        assert X.extract_qa(dom).count() == 8 * n
+        return time.perf_counter() - start
+
+    seconds(2)  # planning and workers
+    assert seconds(2400) < 3 * seconds(1200) + 5
