@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from qaforge.functions import labels as L
 from qaforge.functions.common import LINE_BREAK, fill, let, lookup, strip, texts
+from qaforge.operators.ranking import row_number_by
 from qaforge.rules import lexicons as R
 from qaforge.rules import templates as P
 
@@ -438,7 +439,10 @@ def answer_for(
 def add_diverse(
     n: int, domains: DataFrame, touchpoints: DataFrame, platforms: DataFrame, questions: DataFrame, seed: int = 0
 ) -> DataFrame:
-    """n extra rows, each with a hash-drawn domain, touchpoint, platform and question."""
+    """n extra rows, each with a hash-drawn domain, touchpoint, platform and question.
+
+    Domains, touchpoints and platforms are small menus, held in a row each; questions may be any number, so they are numbered and joined.
+    """
     spark = domains.sparkSession
     one = F.lit(1)
 
@@ -450,14 +454,16 @@ def add_diverse(
         (domains, ["domain", "tone"], "_d"),
         (touchpoints, ["touchpoint", "intent", "description"], "_t"),
         (platforms.withColumnRenamed("tone", "platform_tone"), ["platform", "platform_tone", "style"], "_p"),
-        (questions, ["question"], "_q"),
     ):
         rows = rows.join(F.broadcast(menu(df, cols, name)), "_one").withColumn(
             name, _hash_pick(F.col(name), F.col("id"), name, seed)
         )
-    flat = rows.select(
+    asked = row_number_by(questions.select("question").withColumn("_one", one), ["_one"], [F.col("question")], "_drawn").drop("_one")
+    total = questions.count()
+    drawn = F.pmod(F.xxhash64("id", F.lit("_q"), F.lit(seed)), F.lit(total)) + 1 if total else F.lit(None).cast("long")
+    flat = rows.withColumn("_drawn", drawn).join(asked, "_drawn", "left").select(
         "id", "_d.domain", "_d.tone", "_t.touchpoint", "_t.intent", F.col("_t.description").alias("touchpoint_description"),
-        "_p.platform", "_p.platform_tone", "_p.style", "_q.question",
+        "_p.platform", "_p.platform_tone", "_p.style", "question",
     )
     return grid_system(flat)
 

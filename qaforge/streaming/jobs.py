@@ -35,19 +35,32 @@ def stream_pages_to_qa(stream: DataFrame, path: str, checkpoint: str, **options)
     )
 
 
-def stream_log_upsert(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+BUCKET = "log_bucket"
+
+
+def stream_log_upsert(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64, keep: int = 2) -> StreamingQuery:
     """Keep `table` at one row per (prompt, response) while turns arrive.
 
-    `table` is a folder of numbered versions. A batch reads the version before it and writes its own, named by the
-    batch number, so a batch that is run again after a failure overwrites itself and never counts twice.
+    `table` is a folder of numbered versions, each with the hash buckets of keys that its batch touched; the log is the newest copy of
+    every bucket. A batch reads and writes its own buckets only. It reads versions before its own number, so a batch that is run
+    again after a failure overwrites itself and never counts twice. The last `keep` copies of a bucket stay for readers, older ones are deleted.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = latest_log(spark, table, before=batch_id)
-        upsert_log(batch if old is None else old.unionByName(batch)).write.mode("overwrite").parquet(
-            f"{table}/version={batch_id:012d}"
-        )
+        key = F.xxhash64(*[F.coalesce(F.col(k), F.lit("")) for k in ("user_prompt", "response")])
+        new = batch.withColumn(BUCKET, F.pmod(key, F.lit(buckets)).cast("int"))
+        touched = [r[BUCKET] for r in new.select(BUCKET).distinct().collect()]  # a row per bucket
+        copies = _copies(spark, table, before=batch_id)
+        paths = [copies[b][0] for b in touched if b in copies]
+        if paths:
+            old = spark.read.schema(batch.schema).parquet(*paths)
+            new = old.withColumn(BUCKET, F.pmod(key, F.lit(buckets)).cast("int")).unionByName(new)
+        upsert_log(new).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{table}/version={batch_id:012d}")
+        # Batches before this one are committed and never run again.
+        for older in copies.values():
+            for path in older[keep:]:
+                _delete(spark, path)
 
     return (
         stream.writeStream.foreachBatch(merge)
@@ -57,22 +70,35 @@ def stream_log_upsert(stream: DataFrame, table: str, checkpoint: str) -> Streami
     )
 
 
-def latest_log(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """Newest complete version of an upserted log."""
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _copies(spark: SparkSession, table: str, before: int | None = None) -> dict[int, list[str]]:
+    """Folders of each bucket, the newest first, of complete versions."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(table)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    done = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("version="):
-            number = int(name.removeprefix("version="))
-            complete = fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-            if complete and (before is None or number < before):
-                done.append(number)
-    return spark.read.parquet(f"{table}/version={max(done):012d}") if done else None
+        return {}
+
+    def numbered(folder, prefix: str) -> list[tuple]:
+        names = [(status.getPath().getName(), status.getPath()) for status in fs.listStatus(folder)]
+        return sorted(((int(n.removeprefix(prefix)), path) for n, path in names if n.startswith(prefix)), key=lambda x: -x[0])
+
+    found: dict[int, list[str]] = {}
+    for version, folder in numbered(root, "version="):
+        if (before is None or version < before) and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            for bucket, path in numbered(folder, f"{BUCKET}="):
+                found.setdefault(bucket, []).append(path.toString())
+    return found
+
+
+def latest_log(spark: SparkSession, table: str) -> DataFrame | None:
+    """The upserted log: the newest copy of every bucket."""
+    copies = _copies(spark, table)
+    return spark.read.parquet(*[paths[0] for paths in copies.values()]) if copies else None
 
 
 def label_prompts(stream: DataFrame, text: str = "text") -> DataFrame:

@@ -271,3 +271,37 @@ def test_common_in_order_against_a_table():
             x, y = ("".join(draw.choices(chars, k=draw.randint(0, size))) for _ in range(2))
             assert common_in_order(x, y) == plain(x, y)
             assert common_in_order("zz" + x + "q", "zz" + y + "q") == plain("zz" + x + "q", "zz" + y + "q")
+
+
+def test_stream_log_upsert_rewrites_touched_buckets(spark, tmp_path):
+    from qaforge.streaming import jobs as J
+
+    schema = "seq long, user_prompt string, response string, rating string, rating_msg string"
+    table, source = str(tmp_path / "log"), str(tmp_path / "in")
+    batches = [
+        [(1, "a", "x", None, None), (2, "b", "x", None, ""), (3, None, "x", None, None)],
+        [(4, "a", "x", "good", None), (5, "c", "y", None, None)],
+        [(6, "a", "x", "bad", "why"), (7, "", "x", None, None)],
+        [(8, "a", "x", None, None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        J.stream_log_upsert(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "state"), keep=1).awaitTermination()
+    found = {(r.user_prompt, r.response): (r.seq, r.rating, r.rating_msg) for r in J.latest_log(spark, table).collect()}
+    assert found == {("a", "x"): (6, "bad", "why"), ("b", "x"): (2, None, ""), (None, "x"): (3, None, None), ("c", "y"): (5, None, None)}
+    assert J.latest_log(spark, table).columns == ["seq", "user_prompt", "response", "rating", "rating_msg"]
+    assert max(len(paths) for paths in J._copies(spark, table).values()) <= 2
+    assert J.latest_log(spark, str(tmp_path / "none")) is None
+
+
+def test_add_diverse_numbers_its_questions(spark):
+    from qaforge.operators import prompts as P
+
+    domains = spark.createDataFrame([("d", "warm")], "domain string, tone string")
+    touch = spark.createDataFrame([("t", "i", "about t")], "touchpoint string, intent string, description string")
+    platforms = spark.createDataFrame([("p", "calm", "short")], "platform string, tone string, style string")
+    asked = spark.createDataFrame([(f"q{i}?",) for i in range(5)] + [("q1?",)], "question string")
+    rows = P.add_diverse(200, domains, touch, platforms, asked).collect()
+    assert len(rows) == 200 and {r.question for r in rows} == {f"q{i}?" for i in range(5)}
+    none = P.add_diverse(3, domains, touch, platforms, asked.limit(0)).collect()
+    assert [r.question for r in none] == [None] * 3
