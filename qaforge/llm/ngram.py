@@ -105,18 +105,41 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield now, held
 
 
+def _width(values: np.ndarray) -> int:
+    """Bytes that each of these counts takes; counts of a very large corpus outgrow four."""
+    return 8 if len(values) and values.max() >= 1 << 32 else 4
+
+
+def _pack_counts(values: list[np.ndarray]) -> bytes:
+    flat = np.concatenate(values)
+    width = _width(flat)
+    return bytes([width]) + flat.astype(f"<u{width}").tobytes()
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
+
+
+def _kinds(kinds: tuple[str, ...], width: int) -> list[str]:
+    return [f"<u{width}" if kind == "<u4" else kind for kind in kinds]
+
+
 def _save(uri: str, columns: list[np.ndarray], kinds: tuple[str, ...]) -> None:
+    """Columns one after the other, and a byte that tells the width of the four-byte ones."""
+    width = max(_width(c) for c, kind in zip(columns, kinds) if kind == "<u4")
     with writing(uri) as f:
-        for column, kind in zip(columns, kinds):
+        for column, kind in zip(columns, _kinds(kinds, width)):
             f.write(column.astype(kind).tobytes())
+        f.write(bytes([width]))
 
 
 def _load(uri: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
     try:
         data = np.memmap(mappable(uri), dtype="uint8", mode="r")
-    except (ValueError, FileNotFoundError):  # no rows, so an empty file or none
+    except FileNotFoundError:  # no rows, so no file
         return [np.zeros(0, dtype=k) for k in kinds]
-    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    kinds = _kinds(kinds, int(data[-1]))
+    n, at, out = (len(data) - 1) // sum(np.dtype(k).itemsize for k in kinds), 0, []
     for kind in kinds:
         size = n * np.dtype(kind).itemsize
         out.append(data[at : at + size].view(kind))
@@ -271,7 +294,7 @@ def train(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
         edges = np.searchsorted(part, np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[s], edges[s + 1]
-            yield s, kind, _pack(words[a:b], 6), np.concatenate([v[a:b] for v in values]).astype("<u4").tobytes()
+            yield s, kind, _pack(words[a:b], 6), _pack_counts([v[a:b] for v in values])
 
     def merge_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, group in _groups(batches):
@@ -295,8 +318,8 @@ def train(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     def side(group: list[tuple], kind: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
         mine = [r for r in group if r[1] == kind]
         words = np.concatenate([np.zeros(0, dtype="uint64"), *(_unpack(r[2], 6) for r in mine)])
-        tables = [np.frombuffer(r[3], dtype="<u4").reshape(width, -1) for r in mine]
-        values = np.concatenate(tables, axis=1).astype("int64") if tables else np.zeros((width, 0), dtype="int64")
+        tables = [_unpack_counts(r[3]).astype("int64").reshape(width, -1) for r in mine]
+        values = np.concatenate(tables, axis=1) if tables else np.zeros((width, 0), dtype="int64")
         (words,), values = _merge([words], list(values))
         return words, values
 

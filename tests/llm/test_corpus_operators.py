@@ -459,3 +459,15 @@ def test_pipeline(spark):
             docs = out
     assert sizes[0] < 200 and sizes[0] >= sizes[1] >= sizes[2] > 50 and sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, sf).count() == sizes[-1]
+
+
+def test_counts_beyond_four_bytes(tmp_path):
+    from qaforge.llm import ngram
+
+    big = np.array([1, 2, 7 << 32], dtype="int64")
+    for column in (big, big[:2], big[:0]):
+        assert ngram._unpack_counts(ngram._pack_counts([column, column])).tolist() == column.tolist() * 2
+        keys = np.arange(len(column), dtype="uint64") << np.uint64(60)
+        ngram._save(str(tmp_path / "f"), [keys, column], ngram.PAIR_COLUMNS)
+        assert [c.tolist() for c in ngram._load(str(tmp_path / "f"), ngram.PAIR_COLUMNS)] == [keys.tolist(), column.tolist()]
+    assert [len(c) for c in ngram._load(str(tmp_path / "none"), ngram.WORD_COLUMNS)] == [0] * 7
