@@ -53,7 +53,7 @@ def top_k(
     """(query_id, rank, item_id, score): the k most similar corpus rows per query by cosine, exact.
 
     Each task scores blocks as a matrix product and passes on only its k best per query, so what is shuffled is k rows
-    per query and block. Up to `bound` queries travel to the corpus; beyond that corpus and queries are cut into
+    per query and task. Up to `bound` queries travel to the corpus; beyond that corpus and queries are cut into
     blocks that meet on a block key, so no task holds more than one block of each.
     """
     q = queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(q_vec).alias("v"))
@@ -77,9 +77,14 @@ def _scan(corpus: DataFrame, queries: pd.DataFrame, k: int, skip_self: bool) ->
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, m = shared.value
+        held = None
         for part in batches:
             if len(part) and len(ids):
-                yield _best(ids, m, part["item_id"].to_numpy(dtype=np.int64), _matrix(part["v"]), k, skip_self)
+                new = _best(ids, m, part["item_id"].to_numpy(dtype=np.int64), _matrix(part["v"]), k, skip_self)
+                both = new if held is None else pd.concat([held, new])
+                held = both.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if held is not None:
+            yield held
 
     return corpus.mapInPandas(scan, _HITS)
 
