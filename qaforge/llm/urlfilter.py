@@ -13,6 +13,7 @@ like an output column are replaced. A labelled table with one class only gives t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -27,7 +28,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 
-# Words that stand in addresses one wants to keep out, and ordinary ones. The labelled table is every word in a few places of an address.
+# Words that stand in addresses one wants to keep out, and ordinary ones.
 BLOCK_WORDS = (
     "ads adult bets betting bonus cams casino cheap clickbait coupon crack dating escort fake farm free gamble gambling hack jackpot keygen loans "
     "lottery malware payday phish pills pharma poker popup porn profit promo replica rich scam sex slots spam torrent track tracker viagra warez win xxx"
@@ -38,33 +39,59 @@ PLAIN_WORDS = (
     "mountain museum music nature news ocean open paper park people photo physics plant press project public radio recipe research river road school "
     "science shop sport state stone story street studio study team theatre thing thought town train travel tree union university valley video village "
     "water weather web wiki wind winter world writer another brother evening father listening morning mother motion nation northern option other "
-    "painting reading running setting shore singing southern station there these those together version within"
+    "painting reading running setting shore singing southern station there these those together version within "
+    "account address author blog business camera category comment company contact daily download downloads editor event feed files folder gallery "
+    "german group headset help home-page image images index item jobs leads login member news-letter page pages post posts price product profile "
+    "promise question report review roads search section service sextant shopping software subject support tag thread topic traction tutorial "
+    "upload user view welcome window windows work answer before black bread change common course develop dinner engine family friend general "
+    "green ground horse kitchen leather light manual master minute number order origin physical quick reader release round sample "
+    "simple source spark spring stack standard summer system table teacher thanks theory thousand through trade value voice winner wood year"
 )
-# Both kinds of words take the same places, so that only the words tell them apart.
-PLACES = (
-    "{w}.example.com {w}.example.net www.{w}.example.org m.{w}.example.com blog.{w}.example.net {w}-online.example.org best-{w}.example.com "
-    "my{w}.example.org {w}-x.example.net x-{w}.example.com {w}ton.example.net the-{w}.example.org "
-    "{w}-{v}.example.com m.{v}-{w}.example.net www.{w}-{v}.example.org {w}{v}.example.com blog.{v}-{w}.example.com {v}-{w}.example.org"
-)
-PATHS = "/en/1/ /de/25.html /fr/340 /es/4711?page=2&ref=x /index.html /"
+# Both kinds of words take the same places, so that only the words tell them apart. {v} is a second word of the same list, {s} a suffix.
+PLACES = "{w}.{s} www.{w}.{s} {w}-{v}.{s} www.{v}{w}.{s} my{w}.{s} the-{w}.{s} {w}24.{s} {w}.example.{s} m.{v}-{w}.site.{s} shop.{w}.{v}.{s} {w}s.{s}"
+PATHS = "/{w} /{w}/ /pub/9/{w}/index.html /{w}.html /{w}/{v} /{v}/{w}.php /{w}-{v} /{v}_{w}.htm /category/{v}-{w}-88/ /2019/07/{w}-{v}/ /my{w} /{v}{w}s/"
+# Parts without a word of either list.
+BARE_PLACES = "example.{s} www.example.{s} 192.0.2.17 site12.{s} m.host.{s} a1.b2.{s} localhost:8080 www.page.{s} x.{s} cdn3.server.{s}"
+BARE_PATHS = "/ /index.html /4711 /12/34/ /a/b.php /2020/11/05/ /p/7 /v1/id/33.json /~u/ /item.aspx"
+SUFFIXES = "com net org info io co eu us de fr es it nl pl se ch at ca edu co.uk com.au com.br co.jp"
 
 
 def _words(text: str) -> Column:
     return F.explode(F.split(F.lit(text), " "))
 
 
+def _pick(text: str, *key: str | Column) -> Column:
+    """A word of the text by the hash of the key."""
+    return F.get(F.split(F.lit(text), " "), F.pmod(F.xxhash64(*key), F.lit(max(len(text.split()), 1))).cast("int"))
+
+
+def _filled(pattern: Column, word: Column, words: str, *key: str | Column) -> Column:
+    marks = (("{w}", word), ("{v}", _pick(words, F.lit("v"), *key)), ("{s}", _pick(SUFFIXES, F.lit("s"), *key)))
+    for mark, value in marks:
+        pattern = F.replace(pattern, F.lit(mark), value)
+    return pattern
+
+
 def labelled_urls(spark: SparkSession, block: str = BLOCK_WORDS, plain: str = PLAIN_WORDS) -> DataFrame:
-    """(url, label) made from the word lists: each word in each host pattern, with a path by the pattern."""
+    """(url, label) made from the word lists: each word in each host shape and in each path shape.
+
+    Each of these hosts comes with three paths, and each of these paths with three hosts: one with block words, one with plain words, one with
+    none. An address is to be blocked if either part has block words.
+    """
     one = spark.range(1)
     tables = []
-    for words, label in ((block, 1.0), (plain, 0.0)):
-        rows = one.select(_words(words).alias("w")).select("w", _words(PLACES).alias("pattern"))
-        # Where a place takes a second word, a hash picks it from the same list.
-        other = F.get(F.split(F.lit(words), " "), F.pmod(F.xxhash64("pattern", "w"), F.lit(len(words.split()))).cast("int"))
-        host = F.replace(F.replace(F.col("pattern"), F.lit("{w}"), F.col("w")), F.lit("{v}"), other)
-        path = F.get(F.split(F.lit(PATHS), " "), F.pmod(F.xxhash64("pattern"), F.lit(len(PATHS.split()))).cast("int"))
-        tables.append(rows.select(F.concat(F.lit("https://"), host, path).alias("url"), F.lit(label).alias("label")))
-    return tables[0].unionByName(tables[1])
+    lists = [(words, label) for words, label in ((block, 1.0), (plain, 0.0)) if words]
+    shapes = {"host": (PLACES, BARE_PLACES), "path": (PATHS, BARE_PATHS)}
+    for part, rest in (("host", "path"), ("path", "host")):
+        for words, label in lists:
+            rows = one.select(_words(words).alias("w")).select("w", _words(shapes[part][0]).alias("pattern"))
+            for k, (others, other_label) in enumerate([*lists, ("", 0.0)]):
+                key = (F.lit(f"{rest}{k}"), "pattern", "w")
+                with_word, bare = shapes[rest]
+                other = _filled(_pick(with_word if others else bare, F.lit("shape"), *key), _pick(others, F.lit("w"), *key), others, *key)
+                text = {part: _filled(F.col("pattern"), F.col("w"), words, "pattern", "w"), rest: other}
+                tables.append(rows.select(F.concat(F.lit("https://"), text["host"], text["path"]).alias("url"), F.lit(max(label, other_label)).alias("label")))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -111,8 +138,9 @@ def _with_grams(df: DataFrame, url: str) -> DataFrame:
 
 def train(labelled: DataFrame, buckets: int = BUCKETS, penalty: float = 0.0003) -> PipelineModel:
     """Fit on (url, label)."""
-    # The table is small: one task per pass over it is enough.
-    rows = _with_grams(labelled.filter("label is not null"), "url").select("__grams", F.col("label").cast("double").alias("label")).coalesce(1)
+    # The table is small: one task per pass over it is enough. In order, the sums are the same in every run.
+    given = labelled.filter("label is not null").select("url", F.col("label").cast("double").alias("label")).repartition(1).sortWithinPartitions("url", "label")
+    rows = _with_grams(given, "url").select("__grams", "label")
     stages = [
         HashingTF(inputCol="__grams", outputCol="__hashed", numFeatures=buckets, binary=True),
         LogisticRegression(featuresCol="__hashed", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__class", regParam=penalty, standardization=False, maxIter=60),

@@ -78,6 +78,23 @@ def test_url_model_separates_words_it_was_not_given_together(spark):
     assert all((r.verdict == "block") == bool(r.bad) for r in got)
 
 
+def test_url_model_reads_the_path(spark):
+    labelled = urlfilter.labelled_urls(spark)
+    model = urlfilter.train(labelled)
+    urls = [
+        ("https://example.com/casino/free-pills", 1), ("http://www.example.org/articles/2021/cheap-viagra-pharma.html", 1), ("https://river-museum.co.uk/poker-jackpot", 1),
+        ("https://library.edu/a/b/porn/index.php", 1), ("https://docs.example.net/gambling", 1), ("https://harbor.org/torrent-keygen-crack/12", 1),
+        ("https://example.com/", 0), ("https://example.com/history/old-town", 0), ("http://www.example.org/articles/2021/garden-weather.html", 0), ("https://river-museum.co.uk/story-library", 0),
+        ("https://docs.example.net/roads/map", 0), ("https://blog.unusualname.io/2023/10/qwerty", 0),
+    ]
+    got = urlfilter.judge_urls(spark.createDataFrame(urls, "url string, bad int"), model).collect()
+    assert [r.url for r in got if (r.verdict == "block") != bool(r.bad)] == []
+    # An address of the table is bad if either of its parts has a block word.
+    parts = {(bool(r.h), bool(r.p)): r.label for r in labelled.select(
+        F.col("url").rlike("//[^/]*(casino|viagra)").alias("h"), F.col("url").rlike("//[^/]*/.*(casino|viagra)").alias("p"), "label").distinct().filter("h or p").collect()}
+    assert parts == {(True, False): 1.0, (False, True): 1.0, (True, True): 1.0}
+
+
 # ---------------------------------------------------------------- 2
 
 
