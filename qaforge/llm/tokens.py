@@ -9,7 +9,8 @@ The index holds id, place, length and token count per document, so one short doc
 A file opens only with the dictionary it was written with.
 
 Text is encoded word by word through a table of known words where that gives the ids of the whole text: byte-level vocabularies cut the text before a single
-blank, around a single line break, and between a letter and the marks after it. A text with two white-space characters in a row is encoded whole.
+blank, around a single line break, and between a letter and the marks after it. A text with two white-space characters in a row is encoded whole,
+and so is one that holds the string of an added token (`<|endoftext|>`): the library gives that string the token's id, as it does by default.
 
 Defined results: a null text is empty and has the end id only; equal ids follow the order of a hash of the frame; null ids come first and are
 marked in the index; repeated rows are stored each; an empty table gives no files and an empty result.
@@ -18,6 +19,7 @@ marked in the index; repeated rows are stored each; an empty table gives no file
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -55,11 +57,14 @@ class Encoder:
     library encodes those. A word's digest tells whether it stands at the start of its text, behind a blank or behind a line break.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
+        """`special_as_text`: strings of special tokens in a text are ordinary text; else they get the token's id, the library's default."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.odd = "|".join([ODD, *map(re.escape, added)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.zeros(size, dtype=bool)
@@ -146,7 +151,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text of an Arrow string column without nulls."""
-        odd = pc.match_substring_regex(texts, ODD)
+        odd = pc.match_substring_regex(texts, self.odd)
         rest = iter(self._whole(texts.filter(odd).to_pylist()))
         plain: list[bytes] = []
         for _, _, data, offsets in text_blocks(texts.filter(pc.invert(odd))):
@@ -157,7 +162,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, special_as_text=False)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, size: int = DICTIONARY) -> bytes:

@@ -261,6 +261,22 @@ def test_words_give_the_ids_of_whole_texts():
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_get_the_ids_of_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain, coder = Tokenizer.from_file(queries.byte_bpe()), tokens.encoder(queries.byte_bpe())
+    r = random.Random(61)
+    bits = ["see", "<|endoftext|>", "here", "<|endof", "text|>", "é,", "\n", " ", "."]
+    texts = ["see <|endoftext|> here", "a<|endoftext|>b", "<|endoftext|>", "see <|endof text|> here"]
+    texts += ["".join(r.choice(bits) + r.choice([" ", ""]) for _ in range(r.randrange(1, 12))) for _ in range(500)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3826, 220, 50256, 994]
+    assert [np.frombuffer(b, dtype=coder.dtype).tolist() for b in coder.encode(pa.array(texts, type=pa.string()))] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tokens.tokenize_documents(docs, queries.byte_bpe(), str(tmp_path / "ids")).orderBy("doc_id").collect()
+    assert [(g.n_tokens, g.ids_crc32) for g in got] == [(len(w) + 1, zlib.crc32(np.array([*w, 0], dtype="<u4").tobytes())) for w in want]
+
+
 # ---------------------------------------------------------------- 7
 
 
