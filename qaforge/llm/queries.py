@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
-from qaforge.llm import fingerprints, html, mixing, ngram, quality, sharding, simhash, tokencount, tokens, urlfilter
+from qaforge.llm import fingerprints, html, mixing, ngram, periodic, quality, sharding, simhash, tokencount, tokens, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_counts")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"])
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapse_runs(read(spark, sf_dir, "documents"), edit=True))
