@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontaminate as decon
-from qaforge.llm import fingerprints, html, mixing, ngram, periodic, quality, sharding, simhash, tokencount, tokens, urlfilter
+from qaforge.llm import fingerprints, html, mixing, ngram, periodic, quality, sharding, simhash, tokencount, tokens, trie, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.collapse_runs(read(spark, sf_dir, "documents"), edit=True))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id, bit by bit, lowest first
+ids AS (
+  SELECT c, c - c % 5 AS b, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bits), lambda s, bit:
+         xor(s >> 1, CASE WHEN xor(s, bit) % 2 = 1 THEN 3988292384 ELSE 0 END::BIGINT))) % 9 AS h
+  FROM (SELECT c, list_transform(range(0, 8 * length(c::VARCHAR)), lambda i: ((ascii(substr(c::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) % 2)::BIGINT) AS bits
+        FROM (SELECT DISTINCT c FROM t))),
+rows_ AS (
+  SELECT ids.c, 1 AS part, p, r, x FROM ids JOIN t ON t.c = ids.c WHERE p > h
+  UNION ALL SELECT ids.c, 0, p, r, x FROM ids JOIN t ON t.c = ids.b WHERE p <= h),
+seqs AS (
+  SELECT ids.c, coalesce(any_value(s), []) AS s FROM ids LEFT JOIN (SELECT c, list({'r': r, 'x': x} ORDER BY part, p) AS s FROM rows_ GROUP BY c) q ON q.c = ids.c GROUP BY ids.c),
+pre AS (SELECT c, len(s) AS n, unnest(range(0, len(s) + 1)) AS d, s FROM seqs),
+nodes AS (
+  SELECT d, s[1:d] AS k, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(any_value(s[d].x)), 0) AS saved,
+         max(n) = d AS leaf, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM pre GROUP BY 1, 2),
+sums AS (
+  SELECT a, ka, sum(saved) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves, count(*) FILTER (WHERE d = a + 1) AS n_children
+  FROM (SELECT d, saved, leaf, a, k[1:a] AS ka FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM nodes)) GROUP BY a, ka)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, p.c AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, n.ends_sha256 AS ends_sha256
+FROM nodes n JOIN sums ON a = n.d AND ka = n.k LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
