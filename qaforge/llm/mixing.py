@@ -2,7 +2,8 @@
 
 Each source gets a mean repetition rate: its target share of the mixed corpus over its share now. A document's copies are
 drawn by inverting the Poisson distribution of that mean at a point fixed by a hash of seed, id and text, so a re-run task draws
-the same. Copies are made by exploding and dealt over all tasks by a hash.
+the same. Copies are made by exploding and dealt over all tasks by a hash of id, text, copy and the row's number in the input, so that neither rows
+without an id nor copies of one row come together. A table read from files gives its rows the same numbers again.
 
 Defined results: sources without a weight, and null sources, keep a rate of 1 unless a default is given; a weight of 0 drops
 the source; a null text is an empty one and has size 1; equal rows draw equal counts; an empty table gives an empty result; input
@@ -66,14 +67,16 @@ def replicate(
     docs: DataFrame, rates: DataFrame, seed: int = 0, doc_id: str = "doc_id", source: str = "source", text: str = "text", default_rate: float = 1.0,
 ) -> DataFrame:
     """Every document as often as drawn, in an order dealt anew over all tasks; adds `rate`, `copies` and `copy` (from 1)."""
-    rows = without(docs, ["rate", "copies", "copy"])
+    rows = without(docs, ["rate", "copies", "copy"]).withColumn("__row", F.monotonically_increasing_id())
     rate = written(rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "rates")
     held = rate.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__source")), F.lit(0))).first()
     if held[0] <= RATES_ROWS and held[1] <= RATES_BYTES:
         rate = F.broadcast(rate)
     drawn = rows.join(rate, rows[source] == rate["__source"], "left").withColumn("rate", F.coalesce("__rate", F.lit(float(default_rate))))
-    count = poisson_count(seed, F.col("rate"), F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    drawn = drawn.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    count = poisson_count(seed, F.col("rate"), F.col(doc_id), F.col("__md5"))
     drawn = drawn.drop("__source", "__rate").withColumn("copies", count)
     each = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     n = partitions(docs.sparkSession)
-    return each.withColumn("__key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"))).repartition(n, "__key").sortWithinPartitions("__key").drop("__key")
+    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col("__md5"), F.col("__row"), F.col("copy"))
+    return each.withColumn("__key", key).drop("__row", "__md5").repartition(n, "__key").sortWithinPartitions("__key").drop("__key")
