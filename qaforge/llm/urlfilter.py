@@ -22,11 +22,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qaforge.functions.common import let
 from qaforge.llm.common import without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
+TASK_URLS = 100_000  # labelled urls of one task
 
 # Words that stand in addresses one wants to keep out, and ordinary ones.
 BLOCK_WORDS = (
@@ -114,21 +116,27 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return F.coalesce(*hits), F.coalesce(*verdicts)
 
 
-def _slices(text: Column, mark: str, sizes: Sequence[int]) -> list[Column]:
-    """Every run of `size` characters of the marked text; texts shorter than that have none."""
-    whole = F.concat(F.lit(mark), text, F.lit("$"))
+def _slices(text: Column, mark: str, sizes: Sequence[int]) -> Column:
+    """Every run of `size` characters of the marked text, for each size; texts shorter than that have none.
 
-    def cut(size: int) -> Column:
-        last = F.length(whole) - size + 1
-        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substr(whole, i, F.lit(size))))
-        return F.when((F.length(text) > 0) & (last > 0), each).otherwise(F.array().cast("array<string>"))
+    The text is cut into characters once, and each run is put together from its own: a url of any length costs its length.
+    """
+
+    def runs(chars: Column) -> Column:
+        def cut(size: int) -> Column:
+            last = F.size(chars) - size + 1
+            each = F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda i: F.concat(F.lit(mark), *[F.get(chars, i + j) for j in range(size)]))
+            return F.when(last > 0, each).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*[cut(size) for size in sizes])
 
-    return [cut(size) for size in sizes]
+    marked = F.concat(F.lit(mark), text, F.lit("$"))
+    return F.when(F.length(text) > 0, let(F.split(marked, ""), runs)).otherwise(F.array().cast("array<string>"))
 
 
 def grams(host: Column, path: Column, sizes: Sequence[int] = GRAMS) -> Column:
     """Character n-grams of host and path, marked by where they stand; digits of the path count as one digit."""
-    return F.concat(*_slices(host, "^", sizes), *_slices(F.regexp_replace(path, "[0-9]+", "0"), "~", sizes))
+    return F.concat(_slices(host, "^", sizes), _slices(F.regexp_replace(path, "[0-9]+", "0"), "~", sizes))
 
 
 def _with_grams(df: DataFrame, url: str) -> DataFrame:
@@ -138,8 +146,9 @@ def _with_grams(df: DataFrame, url: str) -> DataFrame:
 
 def train(labelled: DataFrame, buckets: int = BUCKETS, penalty: float = 0.0003) -> PipelineModel:
     """Fit on (url, label)."""
-    # The table is small: one task per pass over it is enough. In order, the sums are the same in every run.
-    given = labelled.filter("label is not null").select("url", F.col("label").cast("double").alias("label")).repartition(1).sortWithinPartitions("url", "label")
+    # In order, and dealt by url, the sums are the same in every run. A small table takes one task per pass over it.
+    given = labelled.filter("label is not null").select("url", F.col("label").cast("double").alias("label"))
+    given = given.repartitionByRange(max(1, -(-given.count() // TASK_URLS)), "url", "label").sortWithinPartitions("url", "label")
     rows = _with_grams(given, "url").select("__grams", "label")
     stages = [
         HashingTF(inputCol="__grams", outputCol="__hashed", numFeatures=buckets, binary=True),
