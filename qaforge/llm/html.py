@@ -2,11 +2,14 @@
 
 The standard library's parser sends events; texts are gathered into lines, one per block element. A line's ratio is its characters
 over the tags since the line before. The ratios are smoothed by a Gaussian, and lines at or above the threshold (a share of their
-standard deviation) form the content cluster. The region with the most clustered text is selected: the article elements that hold
-clustered lines, or without such elements the stretch from the first to the last clustered line. Inside the region every line is kept, however short.
+standard deviation) form the content cluster. The region is selected from them: the article elements if any holds
+clustered lines, or without such elements the stretch from the first to the last clustered line. Inside the region every line is kept, however short, and once an
+article is selected every other one is.
 
-Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by element, role, and
-class or id words before any ratio is taken.
+Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out before any ratio is taken: by element, by role, and
+by class or id on elements that make up parts of a page (`PARTS`). A class or id tells such a part if one of its names consists of words for parts
+beside the article and for containers only: `ad-box` does, `share-price` and `article-header` do not. Headings and inline elements are never left out for their names, paragraphs
+only for a class that is a single unmistakable word. Formulas, labels, graphics and what stands in for an embedded object keep their text outside those parts.
 
 Defined results: a null or empty page, or one with nothing but the left-out parts, has an empty text; unclosed elements end
 with the element around them or with the page; equal pages give equal texts; input columns named like an output column are replaced.
@@ -32,22 +35,39 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset(
-    "nav header footer aside form script style noscript template iframe svg math canvas object head title menu dialog button select textarea label audio video map".split()
-)
+LEFT_OUT = frozenset("nav header footer aside form script style noscript template iframe head title menu dialog button select textarea".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+# Elements that make up parts of a page.
+PARTS = frozenset("div section ul ol li dl table tbody tr td center details fieldset figure blockquote article main".split())
 # Words of class and id names that mark parts beside the article.
 ASIDE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus feedback footer form "
     "gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup popular promo promoted "
     "promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+# Words that may stand beside those in the name of a part.
+CONTAINERS = frozenset(
+    "area bar block body bottom box button buttons card cards center container content dialog global group home icons inner item items label large layer left links list lists "
+    "main message mobile module outer page panel primary region reader right row secondary section shell site slot small stack sticky stories text the top unit user wrap wrapper".split()
+)
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+# Classes for which a paragraph is left out.
+NOT_A_PARAGRAPH = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs cookie cookies copyright newsletter promo sponsored".split())
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-# Elements that close themselves when the next one of the kind, or a block, opens.
-SELF_CLOSING = frozenset("p li dd dt tr td th option".split())
+STRUCTURE = frozenset(("article", "main", "body", "html"))
+
+
+def _names_part(value: str, inside: bool) -> bool:
+    """Whether a class or id value has a name for a part beside the article; headers inside an article are its own."""
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        beside = [w for w in words if w in ASIDE_WORDS and not (inside and w in ("header", "masthead"))]
+        if beside and all(w in ASIDE_WORDS or w in CONTAINERS for w in words):
+            return True
+    return False
 
 
-def _beside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _beside(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
     for name, value in attrs:
         if not value:
             if name == "hidden":
@@ -57,9 +77,16 @@ def _beside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "aria-hidden" and value.strip().lower() == "true":
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") or name in ("class", "id") and "comment" in value.lower():
-            if any(w.lower() in ASIDE_WORDS for w in WORDS.findall(value)):
+        if name not in ("class", "id"):
+            continue
+        if tag in ("article", "main"):
+            # An article is left out as a reader's comment only.
+            if any(w.lower() in COMMENT_WORDS for w in WORDS.findall(value)) and _names_part(value, inside):
                 return True
+        elif tag in PARTS and _names_part(value, inside):
+            return True
+        elif tag == "p" and name == "class" and any(x.lower() in NOT_A_PARAGRAPH for x in value.split()):
+            return True
     return False
 
 
@@ -70,6 +97,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.stack: list[str] = []
+        self.open: dict[str, list[int]] = {}  # depths at which each element is open
+        self.walls: list[int] = []  # depths of open elements that no other end tag closes
         self.skip = 0  # depth of the stack at which a left-out part began, plus one
         self.articles: list[int] = []  # depths of open article elements
         self.article = self.made = 0
@@ -89,18 +118,18 @@ class Lines(HTMLParser):
                 self.pop_to(self.skip - 1)
             else:
                 if tag not in VOID:
-                    self.stack.append(tag)
+                    self.push(tag)
                 return
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
             if self.stack and self.stack[-1] == "p" and tag != "br":
-                self.stack.pop()
+                self.pop_to(len(self.stack) - 1)
         if tag in VOID:
             return
         inside = bool(self.articles)
-        self.stack.append(tag)
-        if (tag in LEFT_OUT and not (tag == "header" and inside)) or (attrs and _beside(tag, attrs)):
+        self.push(tag)
+        if (tag in LEFT_OUT and not (tag == "header" and inside)) or (attrs and _beside(tag, attrs, inside)):
             self.end_line()
             self.skip = len(self.stack)
         elif tag in ("article", "main"):
@@ -109,8 +138,18 @@ class Lines(HTMLParser):
                 self.article = self.made
             self.articles.append(len(self.stack))
 
+    def push(self, tag: str) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in STRUCTURE:
+            self.walls.append(len(self.stack))
+        self.stack.append(tag)
+
     def pop_to(self, depth: int) -> None:
-        del self.stack[depth:]
+        while len(self.stack) > depth:
+            tag = self.stack.pop()
+            self.open[tag].pop()
+            if tag in STRUCTURE:
+                self.walls.pop()
         if self.skip > depth:
             self.skip = 0
         while self.articles and self.articles[-1] > depth:
@@ -123,16 +162,13 @@ class Lines(HTMLParser):
             self.end_line()
         if not self.skip:
             self.tags += 1
-        stack = self.stack
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth] == tag:
-                if self.skip > depth or tag in ("article", "main", "body", "html"):
-                    self.end_line()
-                self.pop_to(depth)
-                return
-            # An end tag without a partner does not close the blocks around it.
-            if stack[depth] in ("article", "main", "body", "html") and tag not in ("article", "main", "body", "html"):
-                return
+        # An end tag without a partner, or with one beyond the structure around it, closes nothing.
+        at = self.open.get(tag)
+        if not at or (tag not in STRUCTURE and self.walls and self.walls[-1] > at[-1]):
+            return
+        if self.skip > at[-1] or tag in STRUCTURE:
+            self.end_line()
+        self.pop_to(at[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -164,9 +200,7 @@ def content_lines(lines: list[tuple[str, int, int]], sigma: float = SIGMA, share
     cluster = ratios >= share * ratios.std()
     article = np.array([a for _, _, a in lines])
     if (article[cluster] > 0).any():
-        weight = np.bincount(article, weights=chars * cluster)
-        weight[0] = 0
-        return np.isin(article, np.flatnonzero(weight > 0))
+        return article > 0
     at = np.flatnonzero(cluster)
     keep = np.zeros(len(lines), dtype=bool)
     if len(at):

@@ -95,6 +95,28 @@ def test_url_model_reads_the_path(spark):
     assert parts == {(True, False): 1.0, (False, True): 1.0, (True, True): 1.0}
 
 
+def test_long_url(spark):
+    """A url of a megabyte costs its length, and its n-grams are those of a plain loop."""
+    import time
+
+    model = urlfilter.train(urlfilter.labelled_urls(spark))
+    r = random.Random(1)
+    path = "/" + "".join(r.choice("abcdefgh/_é") for _ in range(1_000_000))
+    df = spark.createDataFrame([("http://h.org" + path,)], "url string")
+    start = time.time()
+    assert [x.path for x in urlfilter.judge_urls(df, model).collect()] == [path]
+    assert time.time() - start < 60
+    short = spark.createDataFrame([("http://Ab.org/x1é22",), ("http://a",), ("none",)], "url string")
+    host, path = urlfilter.host_and_path(F.col("url"))
+    got = [list(x[0]) for x in short.select(urlfilter.grams(host, path)).collect()]
+
+    def plain(text, mark):
+        text = f"{mark}{text}$" if text else ""
+        return [mark + text[i : i + n] for n in urlfilter.GRAMS for i in range(len(text) - n + 1)]
+
+    assert got == [plain("ab.org", "^") + plain("/x0é0", "~"), plain("a", "^"), []]
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -179,6 +201,35 @@ def test_main_text():
     assert many == " ".join(["para graph"] * 5000)
 
 
+def test_names_of_article_parts_are_no_reason_to_leave_them_out():
+    page = """<div id="page-wrapper"><article><div class="article-header"><h1 class="banner">Title</h1></div><h2 id="In_popular_culture">Popular culture</h2>
+    <p class="share-price">Price 12</p><p>Sum <math><mi>x</mi></math> and <label>a label</label> <object>stands in</object></p><div class="header">By me</div>
+    <canvas>drawing</canvas> <svg><text>axis</text></svg> <video>no video</video><ul class="feature-list"><li>point</li></ul>
+    <div class="share-buttons">Share</div><div class="post sidebar">Side</div><p class="advert">Buy</p><div id="cookieNotice">Cookies</div><section class="user-comments"><p>Said</p></section>
+    <ol><li class="comment">Me too</li></ol><form><label>Name</label><select><option>1</option></select></form><div class="site-footer">Foot</div></article></div>"""
+    assert html.main_text(page) == "Title Popular culture Price 12 Sum x and a label stands in By me drawing axis no video point"
+
+
+def test_short_articles_stay_beside_long_ones():
+    page = "<body><nav>Menu</nav><article><p>Hi.</p></article><article><p>" + "long text " * 80 + "</p></article><article class='comment'><p>Reader</p></article></body>"
+    assert html.main_text(page) == "Hi. " + ("long text " * 80).strip()
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article>" + "</b>" * 100_000 + "<p>end</p></article>", "end"),
+    ("<article>" + "<i>" * 50_000 + "</b>" * 50_000 + "<p>end</p></article>", "end"),
+    ("<b><article>" + "<i>" * 50_000 + "</b>" * 50_000 + "<p>end</p></article>", "end"),
+    ("<article>" + "<div>" * 50_000 + "deep" + "</div>" * 50_000 + "<p>end</p></article>", "deep end"),
+    ("<article>" + "<p>par graph</p>" * 60_000 + "</article>", " ".join(["par graph"] * 60_000)),
+])
+def test_long_and_deep_pages_take_linear_time(page, text):
+    import time
+
+    start = time.time()
+    assert html.main_text(page) == text
+    assert time.time() - start < 10
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "mine"), (2, None, "<article>ab</article>", "x"), (2, None, "<article>ab</article>", "x")], "page_id int, url string, html string, text string")
     got = html.extract_text(df).orderBy("page_id").collect()
@@ -456,6 +507,17 @@ def test_replicate(spark, docs, rows, none):
     assert mixing.replicate(none, rates).count() == 0
 
 
+def test_rows_without_ids_and_repeated_rows_spread(spark):
+    rows = spark.range(20_000, numPartitions=8)
+    for text in (F.lit("same"), F.col("id").cast("string")):
+        docs = rows.select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), text.alias("text"))
+        rates = spark.createDataFrame([("s", 1.0)], "source string, rate double")
+        dealt = mixing.replicate(docs, rates, seed=3)
+        sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        copies = dealt.agg(F.sum(F.lit(1))).first()[0]
+        assert not copies or len(sizes) == 8 and max(sizes) < 1.3 * copies / 8
+
+
 def test_counts_are_poisson(spark):
     drawn = spark.range(20000).select(mixing.poisson_count(1, F.lit(1.3), F.col("id")).alias("k")).groupBy("k").count().collect()
     for r in drawn:
