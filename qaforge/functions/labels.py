@@ -15,6 +15,7 @@ from qaforge.functions.common import (
     SPACE, best_label, first_match, has_any, hits, let, lookup, strip, texts, words,
 )
 from qaforge.rules import lexicons as R
+from qaforge.session import cut_lineage
 
 
 def keywords(col: Column, mode: str = "word") -> Column:
@@ -32,13 +33,35 @@ def keywords(col: Column, mode: str = "word") -> Column:
     raise ValueError(f"unknown keyword mode: {mode}")
 
 
+# Lexicons up to this size travel to the texts; words of a larger one are met by a join, the most frequent of them apart.
+LEXICON_ROWS, LEXICON_BYTES, FREQUENT = 200_000, 8 << 20, 1000
+
+
+def _valued(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tokens with the valence of the lexicon, null where it has none."""
+    lex = lexicon.select("token", "valence")
+    size = lex.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("b")).first()
+    if size["n"] <= LEXICON_ROWS and size["b"] <= LEXICON_BYTES:
+        return tokens.join(F.broadcast(lex), "token", "left")
+    # The row numbers must not move between the two parts, so they are written down first.
+    tokens = cut_lineage(tokens)
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # At most FREQUENT tokens make up one in FREQUENT of all each.
+    hot = F.broadcast(counts.filter(F.col("n") > F.lit(max(tokens.count() // FREQUENT, 1))).select("token"))
+    rare = tokens.join(hot, "token", "left_anti").join(lex, "token", "left")
+    return tokens.join(hot, "token", "left_semi").join(F.broadcast(lex.join(hot, "token", "left_semi")), "token", "left").unionByName(rare)
+
+
 def sentiment(df: DataFrame, text: str, lexicon: DataFrame, id_col: str) -> DataFrame:
-    """neg/neu/pos shares and the compound score from a caller's `lexicon(token, valence)`.
+    """neg/neu/pos shares and the compound score from a caller's `lexicon(token, valence)`, a row per row of the table.
 
-    Tokens of one row are summed where they are read, so the shuffle carries one small row per text.
+    Ids may be null or repeat: rows are told apart by their number. Tokens of one row are summed where they are read, so the shuffle carries
+    one small row per text.
     """
-    tokens = df.select(
-        id_col,
+    # The number is given below the explode, which would number tokens.
+    rows = df.select(id_col, text, F.monotonically_increasing_id().alias("_row"))
+    tokens = rows.select(
+        id_col, "_row",
         F.explode_outer(
             F.transform(
                 words(F.lower(F.col(text))),
@@ -49,9 +72,10 @@ def sentiment(df: DataFrame, text: str, lexicon: DataFrame, id_col: str) -> Data
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     some = F.col("token").isNotNull() & (F.col("token") != "")
     sums = (
-        tokens.join(lexicon.select("token", "valence"), "token", "left")
-        .groupBy(id_col)
+        _valued(tokens, lexicon)
+        .groupBy("_row")
         .agg(
+            F.first(id_col).alias(id_col),
             F.sum(v).alias("_s"),
             F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("_p"),
             F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("_n"),
