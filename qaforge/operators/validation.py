@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.functions.common import let, strip
+from qaforge.sources.readers import list_files, read_lines
 
 ROLES = ("system", "user", "assistant")
 
@@ -89,6 +90,15 @@ def file_verdict(files: DataFrame, errors: DataFrame, file: str = "file", line:
     )
 
 
+def validate_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(faults with file and line, verdict per file) of stored training files, read in splits; a file of no bytes is empty too."""
+    lines, files = read_lines(spark, path), list_files(spark, path)
+    filled = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    blank = files.join(filled, "file", "left_anti").select("file", F.lit(0).cast("long").alias("line"), F.lit(0).alias("msg_no"), F.lit("file is empty").alias("error"))
+    errors = validate_strict(lines).unionByName(blank)
+    return errors, file_verdict(files, errors)
+
+
 def total_length(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0), lambda s, m: s + F.coalesce(F.length(m["content"]), F.lit(0)))
 

@@ -1,5 +1,7 @@
 """Two-database comparison, validation, retrieval and scoring over whole tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from qaforge.functions import vectors as V
@@ -11,6 +13,7 @@ from qaforge.queries.base import (
     DOC_QA_CTE, PAIRS_CTE, cue, cue_sql, doc_qa, keywords_sql, query, table,
 )
 from qaforge.schemas import COLUMNS_META
+from qaforge.session import checkpoint_dir
 from qaforge.sources.readers import read_side
 
 # ---------------------------------------------------------------- metadata diff
@@ -300,6 +303,34 @@ def file_verdict(spark, d):
     return VL.file_verdict(lines, VL.validate_strict(lines))
 
 
+# Training files, one per source, with a blank line before every tenth document.
+_FILE_LINES = """placed AS (SELECT *, row_number() OVER w + count(*) FILTER (WHERE doc_id % 10 = 0) OVER w AS line FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+    errors AS (SELECT source AS file, line, CASE WHEN doc_id % 8 IN (4, 5, 6, 7) THEN 2 ELSE 0 END AS msg_no, {err} AS error FROM placed WHERE doc_id % 8 <> 0)"""
+
+
+def _validated(spark, d):
+    at = f"{checkpoint_dir(spark).rstrip('/')}/training-{uuid.uuid4().hex}"
+    lines = _lines(spark, d)
+    # One file per source, in order of the documents; a blank line comes before its record.
+    whole = lines.select("file", "line", F.posexplode(F.when(F.col("line") % 10 == 0, F.array(F.lit(""), "value")).otherwise(F.array("value"))).alias("p", "value"))
+    whole.repartition("file").sortWithinPartitions("file", "line", "p").select("file", "value").write.partitionBy("file").text(at)
+    errors, verdicts = VL.validate_files(spark, at)
+    name = F.regexp_extract("file", "file=([^/]+)/", 1)
+    return errors.withColumn("file", name), verdicts.withColumn("file", name)
+
+
+@query("validate_files", f"WITH {_FILE_LINES.format(err=_err)} SELECT file, line, CAST(msg_no AS BIGINT) AS msg_no, error FROM errors")
+def validate_files(spark, d):
+    """Records are written to files and read back by file and line."""
+    return _validated(spark, d)[0]
+
+
+@query("validate_files_verdict", f"""WITH {_FILE_LINES.format(err=_err)}, e AS (SELECT file, arg_min(error, line) AS first_error FROM errors GROUP BY file)
+    SELECT DISTINCT d.source AS file, first_error IS NULL AS ok, first_error FROM documents d LEFT JOIN e ON d.source = e.file""")
+def validate_files_verdict(spark, d):
+    return _validated(spark, d)[1]
+
+
 ROLE_SETS = [["system", "user", "assistant"], ["user", "assistant"], ["user", "system", "assistant"]]
 
 

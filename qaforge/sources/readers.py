@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import re
 import zlib
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qaforge import schemas as S
 from qaforge.functions.common import strip
+from qaforge.session import cut_lineage
 
 CORRUPT = "_corrupt_record"
 
@@ -64,6 +66,36 @@ def tabulate_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows, bad
 
 
+# Parts of files whose line counts are sent to the readers; of more parts the counts are joined by shuffle.
+BLOCKS_SENT = 500_000
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): every line of text files with its number from 1, however many splits a file has.
+
+    Files are read in splits, and lines carry the split they come from. A first pass counts the lines of each split; sums over the splits before it
+    shift the place that a line has in its own. Blank lines count. No file is ever in one row or sorted.
+    """
+    at = ["_file", "_start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy(*at).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cut_lineage(blocks.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))))  # a row per split
+    if shifts.count() <= BLOCKS_SENT:
+        shifts = F.broadcast(shifts)
+    place = F.col("_id") - F.col("_first")
+    # Both passes read the same splits in the same order; a file that changed in between is told.
+    sure = F.when((place >= 0) & (place < F.col("_n")), place + F.col("_shift") + 1).otherwise(F.raise_error(F.concat(F.lit("file changed while it was read: "), "_file")))
+    return lines.join(shifts, at).select(F.col("_file").alias("file"), sure.cast("long").alias("line"), "value")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of all files, those of no bytes as well; the listing that a scan holds on the driver anyway."""
+    # Lines name local files with one slash.
+    names = [re.sub(r"^file:/+", "file:/", f) for f in spark.read.text(path).inputFiles()]
+    return spark.createDataFrame([(f,) for f in names], "file string")
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     """One trimmed address per line, without blank lines."""
     return spark.read.text(path).select(strip(F.col("value")).alias("url")).filter("url <> ''")
