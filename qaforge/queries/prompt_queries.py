@@ -10,7 +10,7 @@ from qaforge.plans.site_corpus import conversation_pairs
 from qaforge.operators.retrieval import score_response
 from qaforge.session import checkpoint_dir
 from qaforge.queries.base import (
-    PAIRS_CTE, cue, cue_sql, keywords_sql, lit, lookup_sql, prompts, query, strip_sql, table,
+    PAIRS_CTE, best_sql, cue, cue_sql, first_sql, hits_sql, keywords_sql, lit, lookup_sql, prompts, query, strip_sql, table,
 )
 from qaforge.queries.label_queries import (
     CONTEXT_NAMES, RANK_CUES, TOPIC_CUES, _ctx, rank_cte,
@@ -329,12 +329,17 @@ def _scratch(spark):
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_label", "SELECT conv_id, turn, md5(text) AS q, length(text) > 0 AS labelled FROM conversations")
+@query(
+    "stream_label",
+    f"""WITH t AS (SELECT conv_id, turn, text, lower(text) AS low FROM conversations), h AS (SELECT *, {", ".join(f"{hits_sql('low', v)} AS s{i}" for i, v in enumerate(R.INTENT6.values()))} FROM t)
+    SELECT conv_id, turn, md5(text) AS q, {best_sql({k: f"s{i}" for i, k in enumerate(R.INTENT6)}, "'information'")} AS intent,
+      {first_sql("low", R.PLATFORM_GUESS, "'corporate_website'")} AS platform, {first_sql("low", R.TOUCHPOINT_GUESS, "'support_page'")} AS touchpoint FROM h""",
+)
 def stream_label(spark, d):
     at = _scratch(spark)
     J.stream_label(_stream(spark, d, "conversations"), f"{at}/out", f"{at}/state").awaitTermination()
-    out = spark.read.schema("conv_id long, turn long, text string, intent string").json(f"{at}/out")
-    return out.select("conv_id", "turn", F.md5("text").alias("q"), F.col("intent").isNotNull().alias("labelled"))
+    out = spark.read.schema("conv_id long, turn long, text string, intent string, platform string, touchpoint string").json(f"{at}/out")
+    return out.select("conv_id", "turn", F.md5("text").alias("q"), "intent", "platform", "touchpoint")
 
 
 @query(
@@ -351,11 +356,11 @@ def stream_log_upsert(spark, d):
     return J.latest_log(spark, f"{at}/log").select("user_prompt", "response", "seq")
 
 
-@query("stream_pages_to_qa", "SELECT DISTINCT url, 'Is it here?' AS question, 'Yes, it is here.' AS answer FROM pages")
+@query("stream_pages_to_qa", "SELECT DISTINCT url, 'What is at ' || url || '?' AS question, 'A page of ' || length(url) || ' letters.' AS answer FROM pages")
 def stream_pages_to_qa(spark, d):
+    """Every page arrives twice, with a pair of its own; all rules look at it."""
     at = _scratch(spark)
-    pages = _stream(spark, d, "pages").withColumn("html", F.concat(F.lit("<dl><dt>Is it here?</dt><dd>Yes, it is here.</dd></dl>"), "html"))
-    J.stream_pages_to_qa(pages, f"{at}/out", f"{at}/state", rules=["definition_list"]).awaitTermination()
+    pair = F.concat(F.lit("<dl><dt>What is at "), "url", F.lit("?</dt><dd>A page of "), F.length("url"), F.lit(" letters.</dd></dl>"))
+    pages = _stream(spark, d, "pages").withColumn("html", F.concat(pair, "html"))
+    J.stream_pages_to_qa(pages.unionByName(_stream(spark, d, "pages").withColumn("html", F.concat(pair, "html"))), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("url string, question string, answer string").json(f"{at}/out")
-
-

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from qaforge.functions import labels as L
@@ -14,13 +16,24 @@ from qaforge.operators.dom import page_dom
 from qaforge.operators.logs import upsert_log
 
 
-def pages_to_qa(stream: DataFrame, mode: str = "union", rules: Sequence[str] = tuple(X.SITE_RULES)) -> DataFrame:
-    """Pairs of each address, the first time it arrives.
+def first_arrivals(stream: DataFrame, key: str = "url", arrived: str | None = None, remember: str = "30 days") -> DataFrame:
+    """Rows whose key has not arrived within the given time before.
 
-    The state is one key per address. Pages carry no event time, so it is never expired; run it from a compacted
-    page table (or anti-join the store, see links.skip_processed) where that grows too large.
+    The state holds a key until the watermark has passed its first arrival by `remember`, so it grows with the keys of that time and not with all
+    keys ever. `arrived` names the column with the time of arrival; without one it is the time of the batch. A table that is no stream is
+    taken as one arrival.
     """
-    return X.extract_qa(page_dom(stream.dropDuplicates(["url"])), mode, rules)
+    if not stream.isStreaming:
+        return stream.dropDuplicates([key])
+    timed = stream if arrived else stream.withColumn("_arrived", F.current_timestamp())
+    return timed.withWatermark(arrived or "_arrived", remember).dropDuplicatesWithinWatermark([key]).select(*stream.columns)
+
+
+def pages_to_qa(
+    stream: DataFrame, mode: str = "union", rules: Sequence[str] = tuple(X.SITE_RULES), arrived: str | None = None, remember: str = "30 days"
+) -> DataFrame:
+    """Pairs of each address, the first time it arrives within the time that is remembered (see first_arrivals)."""
+    return X.extract_qa(page_dom(first_arrivals(stream, "url", arrived, remember)), mode, rules)
 
 
 def stream_pages_to_qa(stream: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -38,29 +51,23 @@ def stream_pages_to_qa(stream: DataFrame, path: str, checkpoint: str, **options)
 BUCKET = "log_bucket"
 
 
-def stream_log_upsert(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64, keep: int = 2) -> StreamingQuery:
-    """Keep `table` at one row per (prompt, response) while turns arrive.
+def stream_log_upsert(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep `table`, partitioned by a hash bucket of the key, at one row per (prompt, response) while turns arrive.
 
-    `table` is a folder of numbered versions, each with the hash buckets of keys that its batch touched; the log is the newest copy of
-    every bucket. A batch reads and writes its own buckets only. It reads versions before its own number, so a batch that is run
-    again after a failure overwrites itself and never counts twice. The last `keep` copies of a bucket stay for readers, older ones are deleted.
+    A batch reads the buckets that its keys fall into and overwrites those partitions alone. A batch that is run again after a failure finds its own
+    rows there and picks the same ones, so nothing counts twice.
     """
+    schema = T.StructType([*stream.schema.fields, T.StructField(BUCKET, T.IntegerType())])
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = F.xxhash64(*[F.coalesce(F.col(k), F.lit("")) for k in ("user_prompt", "response")])
         new = batch.withColumn(BUCKET, F.pmod(key, F.lit(buckets)).cast("int"))
         touched = [r[BUCKET] for r in new.select(BUCKET).distinct().collect()]  # a row per bucket
-        copies = _copies(spark, table, before=batch_id)
-        paths = [copies[b][0] for b in touched if b in copies]
-        if paths:
-            old = spark.read.schema(batch.schema).parquet(*paths)
-            new = old.withColumn(BUCKET, F.pmod(key, F.lit(buckets)).cast("int")).unionByName(new)
-        upsert_log(new).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{table}/version={batch_id:012d}")
-        # Batches before this one are committed and never run again.
-        for older in copies.values():
-            for path in older[keep:]:
-                _delete(spark, path)
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy(BUCKET).parquet(table)
+        old = spark.read.schema(schema).parquet(table).filter(F.col(BUCKET).isin(touched))
+        merged = upsert_log(old, new).repartition(BUCKET)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(table)
 
     return (
         stream.writeStream.foreachBatch(merge)
@@ -70,35 +77,14 @@ def stream_log_upsert(stream: DataFrame, table: str, checkpoint: str, buckets: i
     )
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _copies(spark: SparkSession, table: str, before: int | None = None) -> dict[int, list[str]]:
-    """Folders of each bucket, the newest first, of complete versions."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return {}
-
-    def numbered(folder, prefix: str) -> list[tuple]:
-        names = [(status.getPath().getName(), status.getPath()) for status in fs.listStatus(folder)]
-        return sorted(((int(n.removeprefix(prefix)), path) for n, path in names if n.startswith(prefix)), key=lambda x: -x[0])
-
-    found: dict[int, list[str]] = {}
-    for version, folder in numbered(root, "version="):
-        if (before is None or version < before) and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-            for bucket, path in numbered(folder, f"{BUCKET}="):
-                found.setdefault(bucket, []).append(path.toString())
-    return found
-
-
 def latest_log(spark: SparkSession, table: str) -> DataFrame | None:
-    """The upserted log: the newest copy of every bucket."""
-    copies = _copies(spark, table)
-    return spark.read.parquet(*[paths[0] for paths in copies.values()]) if copies else None
+    """The upserted log; None before the first batch."""
+    try:
+        return spark.read.parquet(table).drop(BUCKET)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def label_prompts(stream: DataFrame, text: str = "text") -> DataFrame:

@@ -284,13 +284,24 @@ def test_stream_log_upsert_rewrites_touched_buckets(spark, tmp_path):
         [(6, "a", "x", "bad", "why"), (7, "", "x", None, None)],
         [(8, "a", "x", None, None)],
     ]
+    files = []
     for rows in batches:
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        J.stream_log_upsert(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "state"), keep=1).awaitTermination()
+        J.stream_log_upsert(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "state")).awaitTermination()
+        files.append(set(map(str, (tmp_path / "log").rglob("*.parquet"))))
     found = {(r.user_prompt, r.response): (r.seq, r.rating, r.rating_msg) for r in J.latest_log(spark, table).collect()}
     assert found == {("a", "x"): (6, "bad", "why"), ("b", "x"): (2, None, ""), (None, "x"): (3, None, None), ("c", "y"): (5, None, None)}
     assert J.latest_log(spark, table).columns == ["seq", "user_prompt", "response", "rating", "rating_msg"]
-    assert max(len(paths) for paths in J._copies(spark, table).values()) <= 2
+    # A batch replaces the files of the buckets of its keys and leaves the others.
+    bucket = {k: spark.range(1).select(F.pmod(F.xxhash64(F.lit(k[0]), F.lit(k[1])), F.lit(64))).first()[0] for k in (("a", "x"), ("b", "x"))}
+    kept = files[1] & files[2]
+    assert any(f"{J.BUCKET}={bucket['b', 'x']}/" in f for f in kept) and not any(f"{J.BUCKET}={bucket['a', 'x']}/" in f for f in kept)
+    # The last batch run again, as after a failure before its commit, changes nothing.
+    before = sorted(map(str, J.latest_log(spark, table).collect()))
+    (tmp_path / "state" / "commits" / "3").unlink()
+    (tmp_path / "state" / "commits" / ".3.crc").unlink(missing_ok=True)
+    J.stream_log_upsert(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "state")).awaitTermination()
+    assert sorted(map(str, J.latest_log(spark, table).collect())) == before
     assert J.latest_log(spark, str(tmp_path / "none")) is None
 
 
@@ -305,3 +316,29 @@ def test_add_diverse_numbers_its_questions(spark):
     assert len(rows) == 200 and {r.question for r in rows} == {f"q{i}?" for i in range(5)}
     none = P.add_diverse(3, domains, touch, platforms, asked.limit(0)).collect()
     assert [r.question for r in none] == [None] * 3
+
+
+def test_an_address_is_taken_once_and_forgotten_in_time(spark, tmp_path):
+    """Runs with restarts between them: state lasts over a restart and is dropped when the watermark has passed."""
+    import datetime as dt
+
+    schema = "url string, html string, at timestamp"
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    html = "<dl><dt>Is {0} here?</dt><dd>Yes, {0} is here.</dd></dl>"
+
+    def run(*pages):
+        rows = [(u, html.format(u + str(n)), dt.datetime(2024, 1, day)) for n, (u, day) in enumerate(pages)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        query = J.stream_pages_to_qa(spark.readStream.schema(schema).parquet(source), out, state, rules=["definition_list"], arrived="at", remember="2 days")
+        query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return sorted(r.url for r in spark.read.schema("url string").json(out).collect()), held[-1]
+
+    assert run(("a", 1), ("b", 1), ("a", 1))[0] == ["a", "b"]
+    assert run(("a", 2), ("c", 2))[0] == ["a", "b", "c"]
+    # Ten days on the old addresses are forgotten: a comes again, and the state holds the new ones only.
+    assert run(("d", 12))[0] == ["a", "b", "c", "d"]
+    urls, held = run(("a", 13), ("d", 13))
+    assert urls == ["a", "a", "b", "c", "d"] and held == 2
+    table = spark.createDataFrame([("a", html.format("x")), ("a", html.format("x"))], "url string, html string")
+    assert J.pages_to_qa(table, rules=["definition_list"]).count() == 1
