@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qaforge.operators.ranking import row_number_by
 from qaforge.schemas import COLUMNS_META, DIFF_REPORT
+from qaforge.session import cut_lineage
 
 METRICS = ["Missing Tables", "Missing Columns", "Changed Columns", "Content Differences"]
 
@@ -154,6 +155,124 @@ def _row(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in df.columns])
 
 
+def _same(by: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in by])
+
+
+def _row_hash(columns: Sequence[str], seed: int) -> Column:
+    """64 bits of the values as text, null apart from empty text and each in its place."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))])
+
+
+def _pairs_by_key(t1: DataFrame, t2: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(names, _l, _r): rows of both sides paired by key; null keys are equal, and a row without a partner has null beside it.
+
+    Where no key repeats, this is one join. Else equal rows of a key are paired first, what is left in order of its contents. Equal rows are counted and not
+    numbered, before they meet: a row held a million times is one row per task.
+    """
+    keys = [F.col(k).alias(n) for k, n in zip(key, names)]
+    counted = t1.select(*keys, F.lit(1).alias("_1"), F.lit(0).alias("_2")).unionAll(t2.select(*keys, F.lit(0).alias("_1"), F.lit(1).alias("_2")))
+    most = counted.groupBy(*names).agg(F.greatest(F.sum("_1"), F.sum("_2")).alias("n")).agg(F.max("n")).first()[0] or 0
+    either = [F.coalesce(F.col(f"l.{n}"), F.col(f"r.{n}")).alias(n) for n in names]
+    if most <= 1:
+        l, r = (t.select(*keys, _row(t).alias(side)).alias(side[1:]) for t, side in ((t1, "_l"), (t2, "_r")))
+        return l.join(r, _same(names), "full_outer").select(*either, "_l", "_r")
+
+    shared = [c for c in t1.columns if c in t2.columns]
+    own = [c for c in t1.columns if c not in shared]
+    digest = [_row_hash(shared, i).alias(f"_h{i}") for i in (1, 2)]
+    match = [*names, "_h1", "_h2"]
+
+    def copies(t: DataFrame, side: str) -> DataFrame:
+        rows = t.groupBy(*[F.col(f"`{c}`") for c in t.columns]).agg(F.count(F.lit(1)).alias("_n"))
+        return rows.select(*keys, *digest, _row_hash(t.columns, 3).alias("_g"), F.struct(*[F.col(f"`{c}`") for c in t.columns]).alias(side), "_n")
+
+    l, r = copies(t1, "_l"), copies(t2.select(*[F.col(f"`{c}`") for c in shared]), "_r")
+    if own:
+        # Rows that agree in the shared columns take the copies of the other side in turn.
+        w = Window.partitionBy(*match)
+        l = l.withColumn("_before", F.sum("_n").over(w.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_n").over(w))
+    else:
+        l = l.withColumn("_before", F.lit(0).cast("long")).withColumn("_all", F.col("_n"))
+    zero = F.lit(0).cast("long")
+    before, n1, n2 = F.coalesce("_before", zero), F.coalesce(F.col("l._n"), zero), F.coalesce(F.col("r._n"), zero)
+    equal = F.greatest(F.least(n1, n2 - before), zero)
+    met = l.alias("l").join(r.alias("r"), _same(match), "full_outer").select(
+        *either, F.coalesce("l._h1", "r._h1").alias("_h1"), F.coalesce("l._h2", "r._h2").alias("_h2"), F.coalesce("l._g", "r._g").alias("_g"), "_l", "_r", equal.alias("_equal"),
+        (n1 - equal).alias("_left"), F.when(before == 0, F.greatest(n2 - F.coalesce("_all", zero), zero)).otherwise(zero).alias("_right"))
+    # Pairs of equal rows say something only if the first side has columns of its own.
+    told = F.lit(False) if not own else (F.col("_equal") > 0) & reduce(lambda x, y: x | y, [F.col("_l")[c].isNotNull() for c in own])
+    met = cut_lineage(met.filter((F.col("_left") > 0) | (F.col("_right") > 0) | told))
+
+    def surplus(side: str, count: str) -> DataFrame:
+        rows = met.filter(F.col(count) > 0).select(*names, "_h1", "_h2", "_g", side, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))).alias("_copy"))
+        return row_number_by(rows, names, [F.col(c) for c in ("_h1", "_h2", "_g", "_copy")], "_no").select(*names, "_no", side)
+
+    rest = surplus("_l", "_left").alias("l").join(surplus("_r", "_right").alias("r"), _same([*names, "_no"]), "full_outer").select(*either, "_l", "_r")
+    if not own:
+        return rest
+    pairs = met.filter(told).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_equal"))))
+    return rest.unionByName(pairs.select(*names, "_l", "_r"))
+
+
+RANGES = (1024, 256)  # equal ranges of the key's span at each level
+
+
+def changed_rows(t1: DataFrame, t2: DataFrame, key: Sequence[str], levels: Sequence[int] = RANGES) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that lie in key ranges which differ.
+
+    The span of the first key column is cut into ranges, each range of either side is summed up as its row count and sums of row hashes, and only
+    ranges with unequal sums are looked at more closely, level by level. Sums are combined before the shuffle: of equal tables no row moves. Keys that are
+    no numbers are cut by hash, whole numbers by value, so that unchanged ranges need not be read where the files are in order of the key.
+    """
+    first = key[0]
+    shared = [c for c in t1.columns if c in t2.columns]
+    own = [c for c in t1.columns if c not in shared]
+    kinds = [t.schema[first].dataType for t in (t1, t2)]
+    whole = all(isinstance(k, T.IntegralType) for k in kinds)
+    if whole:
+        ends = [t.agg(F.min(first), F.max(first)).first() for t in (t1, t2)]
+        low, high = (pick((e[i] for e in ends if e[i] is not None), default=0) for i, pick in enumerate((min, max)))
+        place, size = F.col(first).cast("decimal(38,0)") - low, high - low + 1
+    else:
+        place, size = F.pmod(F.xxhash64(F.col(first).cast("string")), F.lit(1 << 40)).cast("decimal(38,0)"), 1 << 40
+    sides = [t1, t2]
+    for parts in levels:
+        size = max(1, -(-size // parts))
+        bucket = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(F.floor(place / size)).cast("long")
+
+        def summed(t: DataFrame, n: int, bucket: Column = bucket) -> DataFrame:
+            extra = reduce(lambda x, y: x | y, [F.col(f"`{c}`").isNotNull() for c in own]) if own and n == 1 else F.lit(False)
+            return t.groupBy(bucket.alias("_b")).agg(F.struct(
+                F.count(F.lit(1)), F.sum(_row_hash(shared, 1).cast("decimal(20,0)")), F.bit_xor(_row_hash(shared, 2)), F.max(extra)).alias(f"_s{n}"))
+
+        found = summed(sides[0], 1).join(summed(sides[1], 2), "_b", "full_outer").filter(~F.col("_s1").eqNullSafe(F.col("_s2"))).select("_b").collect()
+        changed = sorted(r["_b"] for r in found)  # a number per range, at most the product of the levels
+        if not changed:
+            return t1.limit(0), t2.limit(0)
+        near = bucket.isin(changed)
+        if whole:
+            near = near & _spans(F.col(first), changed, low, size)
+        sides = [t.filter(near) for t in (t1, t2)]
+    return sides[0], sides[1]
+
+
+def _spans(col: Column, buckets: Sequence[int], low: int, size: int, most: int = 32) -> Column:
+    """Condition on the column itself, which a scan can use to leave out files: at most `most` stretches that cover the buckets."""
+    known = [b for b in buckets if b >= 0]
+    gaps = sorted(sorted(range(1, len(known)), key=lambda i: known[i - 1] - known[i])[: most - 1])
+    parts = [known[a:b] for a, b in zip([0, *gaps], [*gaps, len(known)]) if b > a]
+    test = F.lit(False)
+    for part in parts:
+        test = test | ((col >= low + part[0] * size) & (col < low + (part[-1] + 1) * size))
+    return test | col.isNull() if -1 in buckets else test
+
+
+def diff_changed_rows(t1: DataFrame, t2: DataFrame, table: str, key: Sequence[str], levels: Sequence[int] = RANGES) -> DataFrame:
+    """What `diff_rows` reports by key, for tables that are mostly equal: only rows of differing key ranges are shuffled."""
+    return diff_rows(*changed_rows(t1, t2, key, levels), table, key)
+
+
 def diff_rows(
     t1: DataFrame, t2: DataFrame, table: str, key: Sequence[str] = (), mode: str = "key"
 ) -> DataFrame:
@@ -164,25 +283,8 @@ def diff_rows(
     """
     blank = F.lit("")
     if mode == "key":
-        # Equal rows of a key are paired first, copy by copy; what is left of a key is paired in order of its contents. Null keys are equal.
         names = [f"_k{i}" for i in range(len(key))]
-        shared = [c for c in t1.columns if c in t2.columns]
-
-        def keyed(df: DataFrame, side: str) -> DataFrame:
-            rows = df.select(*[F.col(k).alias(n) for k, n in zip(key, names)], _row(df).alias(side))
-            text = F.to_json(F.struct(*[F.col(side)[c].cast("string").alias(c) for c in shared]))
-            return row_number_by(rows.withColumn("_h", F.md5(text)), [*names, "_h"], [F.lit(0)], "_copy")
-
-        def same(by: Sequence[str]) -> Column:
-            return reduce(lambda x, y: x & y, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in by])
-
-        every = [*names, "_h", "_copy"]
-        l, r = keyed(t1, "_l"), keyed(t2, "_r")
-        equal = l.alias("l").join(r.alias("r"), same(every)).select(*[F.col(f"l.{n}").alias(n) for n in names], "_l", "_r")
-        left = row_number_by(l.alias("l").join(r.alias("r"), same(every), "left_anti"), names, [F.col("_h")], "_no")
-        right = row_number_by(r.alias("l").join(l.alias("r"), same(every), "left_anti"), names, [F.col("_h")], "_no")
-        rest = left.alias("l").join(right.alias("r"), same([*names, "_no"]), "full_outer")
-        joined = equal.unionByName(rest.select(*[F.coalesce(F.col(f"l.{n}"), F.col(f"r.{n}")).alias(n) for n in names], "_l", "_r"))
+        joined = _pairs_by_key(t1, t2, key, names)
         pk = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
         issue = (
             F.when(F.col("_r").isNull(), "Row missing in db2")
