@@ -84,3 +84,36 @@ def append_log(spark, d):
     W.append_log(turns.filter("conv_id % 2 = 0"), at)
     W.append_log(turns.filter("conv_id % 2 <> 0"), at)
     return spark.read.schema("conv_id long, turn long, role string, text string").json(at)
+
+
+@query("grouped_by_url_file", f"WITH {DOC_QA_CTE} SELECT site AS url, count(*) AS n, md5(string_agg(question || '|' || answer, '#' ORDER BY pos)) AS pairs FROM qa GROUP BY site")
+def grouped_by_url_file(spark, d):
+    """A line per address, read back: its pairs in their order."""
+    at = _at(spark, "grouped")
+    W.write_grouped_by_url(doc_qa(spark, d), at, url="site")
+    rows = spark.read.schema("url string, faqs array<struct<Q string, A string>>").json(at)
+    return rows.select("url", F.size("faqs").alias("n"), F.md5(F.array_join(F.transform("faqs", lambda x: F.concat(x["Q"], F.lit("|"), x["A"])), "#")).alias("pairs"))
+
+
+@query(
+    "sitemap_files",
+    """WITH p AS (SELECT *, page_id % 7 AS f, url || '&b=' || page_id AS u FROM pages)
+    SELECT 'map' || f AS sitemap, CASE WHEN f = 6 THEN 'sitemap' ELSE 'url' END AS kind, row_number() OVER (PARTITION BY f ORDER BY page_id) - 1 AS pos, CASE WHEN f = 3 THEN replace(u, '&', '&amp;') ELSE u END AS loc FROM p
+    UNION ALL SELECT 'map3', 'url', (SELECT count(*) FROM p WHERE f = 3), 'http://last.example'""",
+)
+def sitemap_files(spark, d):
+    """Sitemaps written as packed files and read back: six lists of pages, one cut off and one broken, and one index. A broken file is read as plain text."""
+    at = _at(spark, "sitemaps")
+    f = F.col("page_id") % 7
+    tag = F.when(f == 6, "sitemap").otherwise("url")
+    loc = F.replace(F.concat("url", F.lit("&b="), "page_id"), F.lit("&"), F.lit("&amp;"))
+    rows = table(spark, d, "pages").select(f.alias("f"), "page_id", F.concat(F.lit("<"), tag, F.lit("><loc> "), loc, F.lit(" </loc><lastmod>2024</lastmod></"), tag, F.lit(">")).alias("value"))
+    root = F.when(F.col("f") == 6, "sitemapindex").otherwise("urlset")
+    ends = rows.select("f").distinct()
+    start = ends.select("f", F.lit(-1).alias("page_id"), F.concat(F.lit('<?xml version="1.0"?>\n<'), root, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')).alias("value"))
+    broken = F.when(F.col("f") == 3, "<url><loc>http://last.example</loc></link></urlset>").otherwise(F.concat(F.lit("</"), root, F.lit(">")))
+    stop = ends.filter("f <> 2").select("f", F.lit(1 << 60).alias("page_id"), broken.alias("value"))
+    whole = start.unionByName(rows).unionByName(stop)
+    named = whole.withColumn("map", F.concat(F.lit("map"), "f")).repartition("map").sortWithinPartitions("map", "page_id")
+    named.select("map", "value").write.partitionBy("map").option("compression", "gzip").text(at)
+    return R.read_sitemap_files(spark, at).withColumn("sitemap", F.regexp_extract("sitemap", "map=([^/]+)/", 1))

@@ -125,12 +125,12 @@ def _locs(body: Column, row: str) -> Column:
     return parsed[row]["loc"]
 
 
-def read_sitemaps(source: DataFrame | str, spark: SparkSession | None = None) -> DataFrame:
+def read_sitemaps(source: DataFrame | str | list[str], spark: SparkSession | None = None) -> DataFrame:
     """(sitemap, kind, pos, loc) from `(sitemap, body)` rows or from files, packed or not.
 
     `kind` is `url` for pages and `sitemap` for entries of an index. Broken XML falls back to a plain tag pattern.
     """
-    if isinstance(source, str):
+    if isinstance(source, (str, list)):
         files = (spark or SparkSession.getActiveSession()).read.format("binaryFile").load(source)
         df = files.select(F.col("path").alias("sitemap"), _decode("content").alias("body"))
     else:
@@ -155,6 +155,35 @@ def read_sitemaps(source: DataFrame | str, spark: SparkSession | None = None) ->
     return tagged.select("sitemap", F.explode(found).alias("e")).select("sitemap", "e.*")
 
 
+def _tagged(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(sitemap, kind, id, loc) of the elements with the tag, parsed one by one as the file is read."""
+    # A file that stops the parser ends there; the plain pass then finds more in it.
+    rows = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).schema("loc string").load(path)
+    return rows.select(F.col("_metadata.file_path").alias("sitemap"), F.lit(tag).alias("kind"), F.monotonically_increasing_id().alias("id"), strip(F.col("loc")).alias("loc"))
+
+
+def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """(sitemap, kind, pos, loc) of stored sitemap files of any size, packed or not; no file is ever one value.
+
+    Elements come one by one from the XML source by row tag. A second pass reads the files as text that ends at every `>`, in splits, and finds what stands before
+    `</loc`. A file in which it finds more addresses than the parser did is broken: its addresses are taken from that pass, each as a page. Files in which
+    neither finds any, such as packed ones whose names do not say so, are unpacked and read whole.
+    """
+    parsed = cut_lineage(_tagged(spark, path, "url").unionByName(_tagged(spark, path, "sitemap")).filter("loc <> ''"))
+    pieces = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("sitemap"), F.monotonically_increasing_id().alias("id"), "value")
+    plain = pieces.withColumn("loc", strip(F.regexp_extract("value", r"(?i)^([^<]*)</loc\s*$", 1))).filter("loc <> ''").select("sitemap", F.lit("url").alias("kind"), "id", "loc")
+    counts = parsed.groupBy("sitemap").agg(F.count(F.lit(1)).alias("n")).join(plain.groupBy("sitemap").agg(F.count(F.lit(1)).alias("m")), "sitemap", "full_outer")
+    files = cut_lineage(counts.select("sitemap", (F.coalesce("m", F.lit(0)) > F.coalesce("n", F.lit(0))).alias("broken")))  # a row per file
+    good, bad = files.filter("not broken").select("sitemap"), files.filter("broken").select("sitemap")
+    entries = parsed.join(good, "sitemap", "left_semi").unionByName(plain.join(bad, "sitemap", "left_semi"))
+    place = F.row_number().over(Window.partitionBy("sitemap", "kind").orderBy("id")) - 1
+    found = entries.select("sitemap", "kind", place.alias("pos"), "loc")
+    silent = [r["file"] for r in list_files(spark, path).join(files, F.col("file") == F.col("sitemap"), "left_anti").collect()]
+    if not silent:
+        return found
+    return found.unionByName(read_sitemaps(silent, spark))
+
+
 def read_side(
     spark: SparkSession, source: str | Mapping[str, str], tables: Iterable[str], order_by: Mapping[str, str] | None = None
 ) -> dict[str, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qaforge.functions.common import fill
@@ -39,9 +39,9 @@ def write_partitioned(df: DataFrame, path: str, by: str, mode: str = "overwrite"
 def grouped_by_url(
     df: DataFrame, url: str = "url", pos: str = "pos", q: str = "question", a: str = "answer", per_row: int | None = None
 ) -> DataFrame:
-    """(url, faqs): the pairs of an address in order, one row per address.
+    """(url, faqs): the pairs of an address in order, one row per address; a row has to fit into a task's memory.
 
-    With `per_row`, an address with more places fills several rows, counted by a further column `part`.
+    Files of addresses of any size are written by write_grouped_by_url. With `per_row`, an address with more places fills several rows, counted by a further column `part`.
     """
     part = F.lit(0) if per_row is None else F.floor(F.col(pos) / per_row).cast("int")
     item = F.struct(F.col(pos).alias("pos"), F.col(q).alias("Q"), F.col(a).alias("A"))
@@ -51,8 +51,22 @@ def grouped_by_url(
     )
 
 
-def write_grouped_by_url(df: DataFrame, path: str, mode: str = "overwrite", **cols: str) -> None:
-    grouped_by_url(df, **cols).write.mode(mode).json(path)
+def write_grouped_by_url(
+    df: DataFrame, path: str, mode: str = "overwrite", url: str = "url", pos: str = "pos", q: str = "question", a: str = "answer"
+) -> None:
+    """One JSON line per address with all its pairs in order, whatever their number.
+
+    A line is written pair by pair and never held as one value: rows are dealt by address and sorted, the first of an address opens its line and the last one closes
+    it. Between the pairs of a line stands a blank, which JSON allows. An address is written by one task, as its line lies in one file.
+    """
+    order = Window.partitionBy(url).orderBy(F.col(pos).asc_nulls_first(), F.col(q), F.col(a))
+    rows = df.select(
+        F.row_number().over(order).alias("_no"), F.lead(F.lit(1)).over(order).isNull().alias("_last"),
+        F.to_json(F.struct(F.col(url).alias("url"))).alias("_u"), F.to_json(F.struct(F.col(q).alias("Q"), F.col(a).alias("A"))).alias("_pair"))
+    head = F.when(F.col("_u") == "{}", F.lit("{")).otherwise(F.concat(F.col("_u").substr(F.lit(1), F.length("_u") - 1), F.lit(",")))
+    text = F.concat(
+        F.when(F.col("_no") == 1, F.concat(head, F.lit('"faqs":['))).otherwise(F.lit(",")), F.col("_pair"), F.when(F.col("_last"), F.lit("]}\n")).otherwise(F.lit("")))
+    rows.select(text.alias("value")).write.mode(mode).option("lineSep", " ").text(path)
 
 
 def write_report_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
