@@ -6,6 +6,8 @@ read again as the next one's input. All but the last return the columns of docum
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from qaforge.llm import decontaminate as decon
@@ -13,6 +15,10 @@ from qaforge.llm import mixing, quality, simhash, tokens
 from qaforge.llm.common import written
 from qaforge.llm.queries import byte_bpe, read
 
+# Rows that go to a Python worker at once. Texts of some kilobytes make the usual 10,000 tens of megabytes, on both sides of each worker.
+BATCH_ROWS = 1500
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # SQL cannot express the classifier, the fingerprints or the token files; tests/llm compares the stages with plain loops.
 ORACLE_SQL = None
 
@@ -43,6 +49,15 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return tokens.tokenize_documents(docs, byte_bpe())
 
 
+def _in_small_batches(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCHES, min(BATCH_ROWS, int(spark.conf.get(BATCHES))))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("simhash_near_dedup", simhash_near_dedup),
@@ -50,6 +65,7 @@ STAGES = [
     ("source_mixing", source_mixing),
     ("token_output", token_output),
 ]
+STAGES = [(name, _in_small_batches(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
