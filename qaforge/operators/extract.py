@@ -101,47 +101,54 @@ def _class_has(n: Column, part: str, any_case: bool = True) -> Column:
 
 # ---------------------------------------------------------------- structured data
 
-_ITEM = "struct<name:string,headline:string,question:string,text:string,acceptedAnswer:string,answer:string>"
-_DOC = f"struct<`@type`:string,type:string,mainEntity:array<{_ITEM}>"
-_LD = f"array<{_DOC},`@graph`:array<{_DOC}>>>>"
+# Levels of `@graph` inside one another that are looked into.
+GRAPH_DEPTH = 5
 
 
-def jsonld(clean: Clean = strip, types: Sequence[str] = ("FAQPage", "QAPage")) -> Column:
-    """Pairs of FAQ structured data, in a page object, a list of them, or an `@graph`."""
+def _list(value: Column, path: str) -> Column:
+    """What a variant holds at the path as a list: the members of a list, a single value by itself, nothing for null or a missing one."""
+    one = F.try_variant_get(value, path, "variant")
+    many = F.try_variant_get(value, path, "array<variant>")
+    return F.when(one.isNull() | F.is_variant_null(one), F.array().cast("array<variant>")).otherwise(F.coalesce(many, F.array(one)))
+
+
+def _each(values: Column, path: str) -> Column:
+    return F.flatten(F.transform(values, lambda v: _list(v, path)))
+
+
+def _said(value: Column, *names: str) -> Column:
+    """The first of the named members that is there, as text."""
+    return F.coalesce(*[F.try_variant_get(value, f"$.{n}", "string") for n in names], F.lit(""))
+
+
+def jsonld(clean: Clean = strip, types: Sequence[str] = ("FAQPage", "QAPage"), depth: int = GRAPH_DEPTH) -> Column:
+    """Pairs of FAQ structured data of any shape: a page object, lists of them, `@graph` in `@graph` down to `depth`.
+
+    Types, main entities and answers may be single values or lists; of several answers the first counts. The JSON is read without a schema.
+    """
 
     def wanted(doc: Column) -> Column:
-        kind = F.coalesce(doc["@type"], doc["type"], F.lit(""))
-        # A list of types arrives as its JSON text, where each name stands in quotes.
-        test = F.lit(False)
-        for t in types:
-            test = test | (kind == t) | F.contains(kind, F.lit(f'"{t}"'))
+        kinds = F.transform(F.concat(_list(doc, '$["@type"]'), _list(doc, "$.type")), lambda k: F.coalesce(F.try_variant_get(k, "$", "string"), F.lit("")))
         # Any type with FAQ in its name, and any that begins with it in either case.
-        return test | F.contains(kind, F.lit("FAQ")) | F.regexp_like(kind, F.lit(r'(?i)(^|")faq'))
+        return F.exists(kinds, lambda k: k.isin(list(types)) | F.contains(k, F.lit("FAQ")) | F.startswith(F.lower(k), F.lit("faq")))
 
     def answer(item: Column) -> Column:
-        raw = F.coalesce(item["acceptedAnswer"], item["answer"])
-        listed = F.get_json_object(raw, "$[0].text")
-        return F.when(raw.startswith("{"), F.get_json_object(raw, "$.text")).when(raw.startswith("["), listed).otherwise(raw)
+        first = F.get(F.concat(_list(item, "$.acceptedAnswer"), _list(item, "$.answer")), F.lit(0))
+        text = F.try_variant_get(first, "$.text", "string")
+        return F.coalesce(text, F.when(~F.schema_of_variant(first).startswith("OBJECT"), F.try_variant_get(first, "$", "string")), F.lit(""))
 
     def docs(script: Column) -> Column:
-        top = F.coalesce(F.from_json(script["raw"], _LD), F.array().cast(_LD))
-        graph = F.flatten(F.filter(F.transform(top, lambda d: d["@graph"]), lambda g: g.isNotNull()))
-        plain = F.transform(
-            top,
-            lambda d: F.struct(d["@type"].alias("@type"), d["type"].alias("type"), d["mainEntity"].alias("mainEntity")),
-        )
-        return F.filter(F.concat(plain, graph), lambda d: d.isNotNull() & wanted(d) & d["mainEntity"].isNotNull())
+        # A list may hold lists.
+        level = _each(_each(F.array(F.try_parse_json(script["raw"])), "$"), "$")
+        found = [level]
+        for _ in range(depth):
+            level = _each(level, '$["@graph"]')
+            found.append(level)
+        return F.filter(F.concat(*found), wanted)
 
     def pairs(script: Column) -> Column:
-        items = F.flatten(F.transform(docs(script), lambda d: d["mainEntity"]))
-        return F.transform(
-            F.filter(items, lambda i: i.isNotNull()),
-            lambda i: _pair(
-                script["id"],
-                clean(F.coalesce(i["name"], i["headline"], i["question"], i["text"], F.lit(""))),
-                clean(F.coalesce(answer(i), F.lit(""))),
-            ),
-        )
+        items = _each(docs(script), "$.mainEntity")
+        return F.transform(items, lambda i: _pair(script["id"], clean(_said(i, "name", "headline", "question", "text")), clean(answer(i))))
 
     scripts = _nodes(lambda n: (n["tag"] == "script") & F.contains(attr(n, "type"), F.lit("ld+json")) & n["raw"].isNotNull())
     return _both(F.flatten(F.transform(scripts, pairs)))

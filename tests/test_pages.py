@@ -114,3 +114,34 @@ def test_rules_stay_linear_in_page_size(spark):
 
     seconds(2)  # planning and workers
     assert seconds(2400) < 3 * seconds(1200) + 5
+
+
+def test_jsonld_of_every_shape(spark):
+    import json
+
+    from qaforge.operators.dom import page_dom
+
+    def item(n, answer=None, **more):
+        return {"@type": "Question", "name": f"q{n}?", "acceptedAnswer": answer if answer is not None else {"@type": "Answer", "text": f"a{n}"}, **more}
+
+    faq = {"@type": "FAQPage"}
+    shapes = [
+        ({**faq, "mainEntity": [item(1), item(2)]}, [1, 2]),
+        ({**faq, "mainEntity": item(1)}, [1]),
+        ([{**faq, "mainEntity": item(1)}, {"@type": "Thing", "mainEntity": item(9)}, [{**faq, "mainEntity": item(2)}]], [1, 2]),
+        ({"@type": ["WebPage", "FAQPage"], "mainEntity": item(1)}, [1]),
+        ({"type": "faqpage", "mainEntity": [item(1)]}, [1]),
+        ({"@graph": [{"@graph": [{"@graph": {**faq, "mainEntity": [item(3)]}}, {**faq, "mainEntity": item(2)}]}, {**faq, "mainEntity": item(1)}]}, [1, 2, 3]),
+        ({**faq, "mainEntity": [item(1, "a1"), item(2, [{"text": "a2"}, {"text": "other"}]), item(3, ["a3"]), None, item(4, {"text": None}), {"name": 5, "acceptedAnswer": {"text": 6}}]}, [1, 2, 3, "5:6"]),
+        ({**faq, "mainEntity": [{"headline": "q1?", "answer": "a1"}, {"question": "q2?", "answer": {"text": "a2"}}, {"text": "q3?", "acceptedAnswer": {"text": "a3"}}]}, [1, 2, 3]),
+        ({**faq, "mainEntity": None, "@graph": None}, []), ("text", []), (7, []), (None, []), ({"@type": {"x": 1}, "mainEntity": item(1)}, []), ({**faq, "@graph": [{**faq, "mainEntity": item(2)}], "mainEntity": item(1)}, [1, 2]),
+    ]
+    pages = [(i, f'<script type="application/ld+json">{json.dumps(x)}</script>') for i, (x, _) in enumerate(shapes)] + [(len(shapes), '<script type="application/ld+json">{"@type": "FAQPage", </script>')]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in pages], "page_id int, url string, html string")
+    got = {}
+    for r in X.qa_rule(page_dom(df), "jsonld").collect():
+        got.setdefault(r.page_id, []).append((r.question, r.answer))
+    for i, (_, want) in enumerate(shapes):
+        pairs = [tuple(w.split(":")) if isinstance(w, str) else (f"q{w}?", f"a{w}") for w in want]
+        assert got.get(i, []) == pairs, shapes[i]
+    assert len(shapes) not in got
