@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "label_queries", "rule_queries", "page_queries", "dedupe_queries", "nearest_queries", "table_queries", "prompt_queries", "source_queries"]
+MODULES = ["text_queries", "label_queries", "rule_queries", "page_queries", "dedupe_queries", "nearest_queries", "table_queries", "prompt_queries", "source_queries", "sketch_queries"]
 
 
 def load():
