@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
+import heapq
+import math
 from collections import Counter
 from collections.abc import Sequence
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qaforge.functions.common import WS, strip
-from qaforge.session import cut_lineage
+from qaforge.session import cut_lineage, spread
 
 
 def key_lower(*cols: Column) -> list[Column]:
@@ -124,18 +127,20 @@ def _places(text: str) -> dict[str, int]:
     return {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
 
 
-def common_in_order(x: str, y: str) -> int:
-    """Length of the longest common subsequence, a word of bits at a time (Hyyrö)."""
+def common_in_order(x: str, y: str, where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a word of bits at a time (Hyyrö). `where` holds the places of x if they are known."""
     low, least = 0, min(len(x), len(y))
     while low < least and x[low] == y[low]:
         low += 1
     high = 0
     while high < least - low and x[-1 - high] == y[-1 - high]:
         high += 1
+    if where is not None and low + high < least // 4:
+        low = high = 0
     x, y = x[low : len(x) - high], y[low : len(y) - high]
     if not x or not y:
         return low + high
-    places, full = _places(x), (1 << len(x)) - 1
+    places, full = where if where is not None and not low + high else _places(x), (1 << len(x)) - 1
     rows = full
     for char in y:
         met = rows & places.get(char, 0)
@@ -147,6 +152,7 @@ def common_in_order(x: str, y: str) -> int:
 def _ratio(later: pd.Series, earlier: pd.Series, least: pd.Series) -> pd.Series:
     """Sequence-match ratio, later text first; a pair that cannot reach the threshold gets -1."""
     bags: dict[str, Counter] = {}
+    places: dict[str, dict[str, int]] = {}
 
     def bag(text: str) -> Counter:
         if text not in bags:
@@ -158,66 +164,70 @@ def _ratio(later: pd.Series, earlier: pd.Series, least: pd.Series) -> pd.Series:
             return 1.0
         # Bounds from above, the cheaper one first: characters in common whatever their order, then in order.
         need = t * (len(x) + len(y)) / 2.0
-        if (bag(x) & bag(y)).total() < need - 1e-6 or common_in_order(x, y) < need - 1e-6:
+        if (bag(x) & bag(y)).total() < need - 1e-6:
+            return -1.0
+        if y not in places:
+            if len(places) > 64:
+                places.clear()
+            places[y] = _places(y)
+        if common_in_order(y, x, places[y]) < need - 1e-6:
             return -1.0
         return difflib.SequenceMatcher(None, x, y).ratio()
 
-    return pd.Series([one(x, y, t) for x, y, t in zip(later, earlier, least)], dtype="float64")
+    # Pairs of one earlier text follow one another, so that its places are found once.
+    order = sorted(range(len(earlier)), key=earlier.tolist().__getitem__)
+    rows = list(zip(later, earlier, least))
+    found = np.empty(len(rows))
+    for i in order:
+        found[i] = one(*rows[i])
+    return pd.Series(found)
+
+
+# A run of characters found in more than one text per this many is ranked as common; at most so many common runs are sent to the texts, the most frequent ones.
+COMMON_SHARE, COMMON_RUNS = 100, 200_000
+
+
+def _common_runs(df: DataFrame, text: str, n: int) -> dict[str, int]:
+    """Common runs of `n` characters with the number of texts that have them. Counts are combined before the shuffle."""
+    found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("g"))
+    counts = found.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > max(df.count() // COMMON_SHARE, 1))
+    return {r["g"]: r["df"] for r in counts.orderBy(F.col("df").desc(), "g").limit(COMMON_RUNS).collect()}
+
+
+def _stable(run: str, k: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{k}#{run}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-# A run of characters found in more than one text per this many is ranked as common.
-COMMON_SHARE = 100
+def _chosen(text: str, threshold: float, n: int, common: dict[str, int]) -> list[int]:
+    """Hashes of a text's first runs in the common order, as many as `signatures` says."""
+    size = len(text)
+    runs = Counter(text[i : i + n] for i in range(size - n + 1)) if size >= n else Counter([text])
+    lost = math.floor(size * (2 * (1 - threshold) / (2 - threshold)) + 1e-9)
+    foreign = math.floor(size * (2 * (1 - threshold) / threshold) + 1e-9)
+    broken = max(lost * n, foreign * (n - 1))
+    named = [(common.get(g, 0), _stable(g, k)) for g, c in runs.items() for k in range(1, c + 1)]
+    if broken < len(named):
+        return [h for _, h in heapq.nsmallest(broken + 1, named)]
+    return [*(h for _, h in named), 0]
 
 
 def signatures(df: DataFrame, text: str, threshold: float, id_col: str = "id", n: int = 3) -> DataFrame:
-    """(id, gram): two texts whose match ratio reaches the threshold share at least one row's gram.
+    """(id, gram): two texts whose match ratio reaches the threshold share at least one row's gram (a hash of a run of characters).
 
     Let x and y be the lengths. A ratio of t leaves at most 2x(1-t)/(2-t) characters of a text unmatched, or at most
     2x(1-t)/t foreign ones inside it, and trades one for the other in between. A lost character breaks at most n runs
     of n characters, a foreign one n - 1. So all runs of a text but `broken` survive in its partner, and if both sides
     order their runs alike, the first `broken + 1` of each have one in common. Any order will do; common runs go last
     to keep them out of the join. Repeated runs are told apart by their count. Texts too short to guarantee a common
-    run share one extra signature.
+    run share one extra signature. The runs are ordered where the text is read; only the chosen ones are shuffled.
     """
-    length = F.length(F.col(text))
-    # All overlapping runs in one pass over the text.
-    runs = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    runs = F.when(length >= n, runs).otherwise(F.array(F.col(text)))
-    base = df.select(F.col(id_col).alias("id"), length.alias("_n"), F.explode(runs).alias("_g"))
-    repeated = base.groupBy("id", "_n", "_g").agg(F.count(F.lit(1)).cast("int").alias("_c"))
-    grams = repeated.select(
-        "id", "_n", "_g", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")
-    )
-    total = df.count()
-    # All runs together number (texts x mean length), so at most COMMON_SHARE x mean length runs can be common:
-    # the table is bounded whatever the input, which makes it safe to broadcast.
-    common = (
-        repeated.groupBy("_g").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > max(total // COMMON_SHARE, 1))
-    )
-    ranked = (
-        grams.join(F.broadcast(common), "_g", "left")
-        .groupBy("id", "_n")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.coalesce("_df", F.lit(0)).alias("df"),
-                        F.xxhash64("_g", "_k").alias("h"),
-                        F.col("_g").alias("g"),
-                        F.col("_k").alias("k"),
-                    )
-                )
-            ).alias("r")
-        )
-    )
-    lost = F.floor(F.col("_n") * (2 * (1 - threshold) / (2 - threshold)) + F.lit(1e-9))
-    foreign = F.floor(F.col("_n") * (2 * (1 - threshold) / threshold) + F.lit(1e-9))
-    broken = F.greatest(lost * n, foreign * (n - 1)).cast("int")
-    named = F.transform(F.col("r"), lambda e: F.concat_ws("#", e["g"], e["k"].cast("string")))
-    chosen = F.when(
-        broken < F.size("r"), F.slice(named, F.lit(1), broken + 1)
-    ).otherwise(F.array_append(named, F.lit("")))
-    return ranked.select("id", F.explode(chosen).alias("gram"))
+    sent = df.sparkSession.sparkContext.broadcast(_common_runs(df, text, n))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def chosen(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _chosen(t, threshold, n, sent.value) if t is not None else [])
+
+    return spread(df.select(F.col(id_col).alias("id"), text)).select("id", F.explode(chosen(F.col(text))).alias("gram"))
 
 
 def _representatives(df: DataFrame, q: str, a: str, pos: str) -> DataFrame:
@@ -289,19 +299,20 @@ def fuzzy_pairs(
 
 def dedupe_fuzzy(
     df: DataFrame, threshold: float = 0.9, q: str = "question", a: str = "answer", pos: str = "pos",
-    crowd: int = 10_000, passes: int = 8,
+    crowd: int = 10_000,
 ) -> DataFrame:
     """Drop every row that is alike, on both sides, to an earlier row that is kept.
 
     Where a signature is shared by more than `crowd` rows, comparing all of them with each other would be quadratic.
-    Passes first settle such crowds: a row that comes first under every signature it has is certainly kept, and the
-    rest of its crowds are compared with it alone. What remains is compared pair by pair.
+    Passes settle such crowds until none is left: a row that comes first under every signature it has is certainly kept, and the
+    rest of its crowds are compared with it alone; the first row of all is one in every pass. What remains, in crowds of up to `crowd`, is
+    compared pair by pair.
     """
     reps = cut_lineage(_representatives(df, q, a, pos))
     sigs = cut_lineage(_signed(reps, threshold))
     kept: DataFrame | None = None
 
-    for _ in range(passes):
+    while True:
         busiest = sigs.groupBy("gram", "size").count().agg(F.max("count").alias("n")).first()["n"] or 0
         if busiest <= crowd:
             break

@@ -444,19 +444,21 @@ def recover_qa_json(spark, d):
 _MIXED = "<dl><dt>{q}?</dt><dd>{a}</dd></dl><h3>{q}?</h3><p>{a}</p><table><tr><td>{q}?</td><td>{a}</td></tr></table><p>Q: {q}</p><p>A: {a}</p>"
 
 
-@query("extract_qa")
+# What each rule finds in such a page: three of them need an answer, the lettered paragraphs and the section under the heading do not.
+_UNION = f"""{DOC_QA_CTE}, t AS (SELECT pos AS page_id, {clean_sql("(question || '?')")} AS asked, {clean_sql("question")} AS q, {clean_sql("answer")} AS a, {clean_sql("(answer || ' Q: ' || question || ' A: ' || answer)")} AS section FROM qa),
+    u AS (SELECT page_id, rule, rule_ord, place, asked AS question, a AS answer FROM t, (VALUES ('definition_list', 2, 5), ('heading_next', 3, 7), ('table_rows', 6, 10)) r(rule, rule_ord, place) WHERE a <> ''
+      UNION ALL SELECT page_id, 'block_sequence', 7, 13, q, a FROM t UNION ALL SELECT page_id, 'heading_section', 8, 7, asked, section FROM t)"""
+
+
+@query("extract_qa", f"WITH {_UNION} SELECT page_id, rule, rule_ord, place AS pos, question, answer FROM u")
 def extract_qa(spark, d):
     return X.extract_qa(D.page_dom(_written(spark, d, _MIXED))).select("page_id", "rule", "rule_ord", "pos", "question", "answer")
 
 
-@query(
-    "extract_qa_first_hit",
-    f"WITH {DOC_QA_CTE}, t AS (SELECT pos AS page_id, {clean_sql('''(question || '?')''')} AS question, {clean_sql('''('Reply ' || answer)''')} AS answer FROM qa) SELECT page_id, 'definition_list' AS rule, question, answer FROM t",
-)
+@query("extract_qa_first_hit", f"WITH {_UNION} SELECT page_id, rule, question, answer FROM u QUALIFY rule_ord = min(rule_ord) OVER (PARTITION BY page_id)")
 def extract_qa_first_hit(spark, d):
-    # Every page has an answer for the first rule that fits it, so later rules give nothing.
-    found = X.extract_qa(D.page_dom(_written(spark, d, _MIXED.replace("<dd>{a}", "<dd>Reply {a}"))), mode="first_hit")
-    return found.select("page_id", "rule", "question", "answer")
+    """Where a document has no more than one line, the first rules give nothing and a later one answers."""
+    return X.extract_qa(D.page_dom(_written(spark, d, _MIXED)), mode="first_hit").select("page_id", "rule", "question", "answer")
 
 
 @query("site_corpus")
