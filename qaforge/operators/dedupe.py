@@ -211,8 +211,8 @@ def _chosen(text: str, threshold: float, n: int, common: dict[str, int]) -> list
     return [*(h for _, h in named), 0]
 
 
-def signatures(df: DataFrame, text: str, threshold: float, id_col: str = "id", n: int = 3) -> DataFrame:
-    """(id, gram): two texts whose match ratio reaches the threshold share at least one row's gram (a hash of a run of characters).
+def signatures(df: DataFrame, text: str, threshold: float, id_col: str = "id", n: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, kept columns, gram): two texts whose match ratio reaches the threshold share at least one row's gram (a hash of a run of characters).
 
     Let x and y be the lengths. A ratio of t leaves at most 2x(1-t)/(2-t) characters of a text unmatched, or at most
     2x(1-t)/t foreign ones inside it, and trades one for the other in between. A lost character breaks at most n runs
@@ -227,7 +227,8 @@ def signatures(df: DataFrame, text: str, threshold: float, id_col: str = "id", n
     def chosen(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _chosen(t, threshold, n, sent.value) if t is not None else [])
 
-    return spread(df.select(F.col(id_col).alias("id"), text)).select("id", F.explode(chosen(F.col(text))).alias("gram"))
+    rows = spread(df.select(F.col(id_col).alias("id"), text, *keep))
+    return rows.select("id", *keep, F.explode(chosen(F.col(text))).alias("gram"))
 
 
 def _representatives(df: DataFrame, q: str, a: str, pos: str) -> DataFrame:
@@ -263,10 +264,10 @@ def _signed(reps: DataFrame, threshold: float) -> DataFrame:
     """
     span = F.lit((2 - threshold) / threshold)
     sizes = reps.select(
-        "id", F.length("q").alias("lq"), F.length("a").alias("la"),
+        "id", "q", F.length("q").alias("lq"), F.length("a").alias("la"),
         F.floor(F.log(F.greatest(F.length("a"), F.lit(1))) / F.log(span)).cast("int").alias("size"),
     )
-    return signatures(reps, "q", threshold).join(sizes, "id")
+    return signatures(sizes, "q", threshold, keep=["lq", "la", "size"])
 
 
 def _sharing(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
