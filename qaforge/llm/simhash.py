@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qaforge.llm.common import add_columns, arrow_schema, without, written
+from qaforge.llm.common import add_columns, arrow_schema, find, without, written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 SEGMENTS = 3
 LEADERS = 8
+SHARE = 1000  # a fingerprint or root with more than one in so many rows is hot
 STEP = 1 << 15  # shingles whose bits are counted at once
 
 
@@ -148,18 +149,22 @@ def classes(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     """Distinct fingerprints -> (fp, root), root being the smallest fingerprint of the component."""
     first = written(_labelled(fps, components(leader_links(fps, distance, leaders))), "first")
     joined = components(ball_links(first, distance, segments)).withColumnRenamed("root", "top")
-    return first.join(joined, first["root"] == joined["node"], "left").select("fp", F.coalesce("top", "root").alias("root"))
+    # A root may stand for a large part of all fingerprints: such roots meet them by broadcast.
+    sizes = first.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    tops = written(sizes.join(joined, sizes["root"] == joined["node"], "left").select("root", F.coalesce("top", "root").alias("top"), "n"), "tops")
+    return find(first, "root", tops, "n", first.count() // SHARE).select("fp", F.col("top").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links."""
     prints = written(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "prints")
-    smallest = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "smallest")
+    smallest = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "smallest")
     roots = written(classes(smallest.select("fp"), distance, segments), "roots")
-    members = smallest.join(roots, "fp")
-    named = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = written(members.join(named, "root").select("fp", "component_id"), "ids")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    members = written(smallest.join(roots, "fp"), "members")
+    named = written(members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "named")
+    size = members.agg(F.count(F.lit(1)).alias("fps"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    ids = written(find(members, "root", named, "n", size["fps"] // SHARE).select("fp", "component_id", "copies"), "ids")
+    return find(prints, "fp", ids, "copies", size["rows"] // SHARE).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qaforge.llm.common import arrow_schema, partitions, written
+from qaforge.llm.common import arrow_schema, find, partitions, written
 from qaforge.operators.ranking import row_number_by
 
 WIDTH = 8  # turn positions in one block of columns
@@ -75,15 +75,6 @@ def _key(width: int, upto: Column | None = None) -> Column:
     return F.unhex(F.md5(F.concat(F.concat(F.col("node").cast("string"), F.lit(":")).cast("binary"), *ids)))
 
 
-def find(rows: DataFrame, on: str, table: DataFrame, weight: str, limit: int) -> DataFrame:
-    """Inner join with a table of distinct keys; its rows of more than `limit` in weight, a bounded number, are broadcast.
-
-    The weight of a key is at least the number of rows that have it, so no key brings more than `limit` rows to the shuffled part.
-    """
-    hot = F.broadcast(table.filter(F.col(weight) > limit))
-    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(table.filter(F.col(weight) <= limit), on))
-
-
 def _rolled(wide: DataFrame, width: int, aggregates: str) -> DataFrame:
     """Every prefix of a block: node, t1..tw (null beyond the prefix), d (turns of the prefix within the block), and the aggregates."""
     ids = ", ".join(_ids(width))
