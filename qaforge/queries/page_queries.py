@@ -187,6 +187,19 @@ def crawl_report(spark, d):
     return done.withColumn("status", F.lit("visited")).unionByName(failed.withColumn("status", F.lit("failed")))
 
 
+@query(
+    "crawl_report_pairs",
+    """WITH c AS (SELECT url, min('c' || page_id % 4) AS context FROM pages GROUP BY url)
+    SELECT context, p.url, page_id AS pos, 'q' || page_id AS question, p.url AS answer FROM pages p JOIN c ON p.url = c.url WHERE p.url IN (SELECT url FROM pages WHERE page_id % 3 <> 0)""",
+)
+def crawl_report_pairs(spark, d):
+    """The pairs of the visited addresses by the context of their page; every third page was not visited."""
+    pages = table(spark, d, "pages")
+    pairs = pages.select("url", F.col("page_id").alias("pos"), F.concat(F.lit("q"), "page_id").alias("question"), F.col("url").alias("answer"))
+    known = pages.select("url", F.concat(F.lit("c"), F.col("page_id") % 4).alias("context"))
+    return K.crawl_report(known, pages.filter("page_id % 3 <> 0").select("url"), pairs)[2]
+
+
 @query(
     "skip_processed",
     f"""WITH store AS (SELECT DISTINCT {_site} AS s FROM pages WHERE contains(html, ' nicht '))
@@ -274,13 +287,37 @@ def dom_nodes(spark, d):
     return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _without_sql(x: str, tags) -> str:
+    """A page's markup without comments and without the given elements, which close themselves in the stored pages."""
+    out = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in tags:
+        out = f"regexp_replace({out}, '(?s)<{tag}( [^>]*)?>.*?</{tag}>', '', 'g')"
+    return out
+
+
+def _runs_sql(x: str) -> str:
+    """Texts between tags, decoded and stripped, as one line."""
+    runs = f"list_transform(string_split(regexp_replace({x}, '<[^>]*>', chr(1), 'g'), chr(1)), lambda r: {strip_sql('r')})"
+    out = f"array_to_string(list_filter({runs}, lambda r: r <> ''), ' ')"
+    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{mark}', '{char}')"
+    return out
+
+
+@query("drop_noise_text", f"SELECT page_id, {_runs_sql(_without_sql('html', ['head', 'script', 'style', 'nav', 'footer', 'div']))} AS text FROM pages")
+def drop_noise_text(spark, d):
+    """What is left of the stored pages without their noisy elements: the text of all remaining runs."""
+    clean = D.drop_noise(D.page_dom(table(spark, d, "pages")), R.NOISE_TAGS_WIDE, exact_ids=["none"], classes=["ad"])
+    return clean.select("page_id", F.array_join(F.filter(F.col("pieces")["text"], lambda t: t.isNotNull() & (t != "")), " ").alias("text"))
+
+
 @query("drop_noise")
 def drop_noise(spark, d):
     clean = D.drop_noise(D.page_dom(table(spark, d, "pages")), R.NOISE_TAGS_WIDE, R.NOISE_NAMES, R.NOISE_NAMES)
     return D.dom_nodes(clean).select("page_id", "node_id", "tag", "text")
 
 
-@query("page_text")
+@query("page_text", f"SELECT page_id, {_runs_sql(_without_sql('html', ['script', 'style', 'nav', 'footer', 'h1']))} AS text FROM pages")
 def page_text(spark, d):
     return D.page_text(D.page_dom(table(spark, d, "pages"))).select("page_id", "text")
 
