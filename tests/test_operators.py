@@ -93,6 +93,19 @@ def test_fuzzy_is_exact(spark):
     assert pairs == {(x[0], y[0]) for x in reps for y in reps if x[0] < y[0] and alike(y, x)}
 
 
+def test_fuzzy_candidates_stay_few(spark):
+    """Texts of the same words share their runs of characters; counts rule out nearly all of their pairs before any text or pair is shuffled."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=25)), " ".join(rng.choices(vocabulary, k=30))) for i in range(200)]
+    rows.append((200, rows[7][1] + "s", rows[7][2]))
+    df = spark.createDataFrame(rows, "pos long, question string, answer string")
+    reps, total = D._numbered(D._representatives(df, "question", "answer", "pos"), 0.9)
+    assert total == 201
+    found = D._alike(reps, reps, 0.9, same=True).collect()
+    assert [(r.earlier, r.later) for r in found] == [(7, 200)]
+
+
 def test_either_side(spark):
     rng = random.Random(1)
     rows = [(i, "u", f"q{rng.randrange(25)}", f"a{rng.randrange(25)}") for i in range(200)]
