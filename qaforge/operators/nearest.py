@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qaforge.operators.retrieval import BROADCAST_QUERIES, _best, _matrix, top_k
+from qaforge.operators.retrieval import BROADCAST_QUERIES, Best, _best, _matrix, top_k
 
 SAMPLE = 131_072  # rows that the centroids are fitted on, at most
 TRIALS = 256  # sampled rows that measure the recall
@@ -184,18 +184,12 @@ def _probe_all(spark: SparkSession, index: NearestIndex, queries: pd.DataFrame,
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors, asking = shared.value
-        held = None
+        best = Best(ids, vectors, k, skip_self)
         for batch in batches:
-            found = [] if held is None else [held]
             for cell, part in batch.groupby("cell"):
                 if cell in asking:
-                    q = asking[cell]
-                    found.append(_best(ids[q], vectors[q], part["item_id"].to_numpy(dtype="int64"), _matrix(part["v"]), k, skip_self))
-            if found:
-                both = pd.concat(found)
-                held = both.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if held is not None:
-            yield held
+                    best.offer(part["item_id"].to_numpy(dtype="int64"), _matrix(part["v"]), asking[cell])
+        yield best.rows()
 
     rows = _read(spark, index)
     if probes < index.cells:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,8 @@ from qaforge.operators.ranking import row_number_by
 # Query vectors sent to every task at once; more of them are worked off in blocks of corpus and query rows.
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 65_536
+# Queries and corpus rows of one matrix product.
+TILE_QUERIES, TILE_ROWS = 256, 2048
 
 _HITS = "query_id long, item_id long, score double"
 
@@ -26,23 +29,55 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+class Best:
+    """The k best corpus rows so far of each query; ties go to the smaller id. Takes k rows per query, whatever it is offered."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, skip_self: bool) -> None:
+        self.q_ids, self.q, self.k, self.skip_self = q_ids, q, k, skip_self
+        self.scores = np.full((len(q_ids), k), -np.inf)
+        self.ids = np.zeros((len(q_ids), k), dtype=np.int64)
+
+    def offer(self, c_ids: np.ndarray, c: np.ndarray, places: np.ndarray | None = None) -> None:
+        """Offer corpus rows to all queries, or to those at `places`."""
+        order = np.argsort(c_ids, kind="stable")
+        c_ids, c = c_ids[order], c[order]
+        places = np.arange(len(self.q_ids)) if places is None else places
+        for i in range(0, len(places), TILE_QUERIES):
+            at = places[i : i + TILE_QUERIES]
+            for j in range(0, len(c_ids), TILE_ROWS):
+                self._tile(at, c_ids[j : j + TILE_ROWS], c[j : j + TILE_ROWS])
+
+    def _tile(self, at: np.ndarray, c_ids: np.ndarray, c: np.ndarray) -> None:
+        found = self.q[at] @ c.T
+        if self.skip_self:
+            low, high = np.searchsorted(c_ids, self.q_ids[at]), np.searchsorted(c_ids, self.q_ids[at], side="right")
+            for i in np.flatnonzero(high > low):
+                found[i, low[i] : high[i]] = -np.inf
+        # What a row must reach: the worst row held or, while there are not k of them, the k-th of this tile.
+        least = self.scores[at, -1]
+        if c.shape[0] > self.k and np.isneginf(least).any():
+            least = np.maximum(least, -np.partition(-found, self.k - 1, axis=1)[:, self.k - 1])
+        rows, columns = np.nonzero((found >= least[:, None]) & np.isfinite(found))
+        if not len(rows):
+            return
+        rows = np.concatenate([np.repeat(np.arange(len(at)), self.k), rows])
+        ids = np.concatenate([self.ids[at].ravel(), c_ids[columns]])
+        scores = np.concatenate([self.scores[at].ravel(), found[rows[len(at) * self.k :], columns]])
+        order = np.lexsort((ids, -scores, rows))
+        starts = np.searchsorted(rows[order], np.arange(len(at)))
+        kept = order[starts[:, None] + np.arange(self.k)]
+        self.scores[at], self.ids[at] = scores[kept], ids[kept]
+
+    def rows(self) -> pd.DataFrame:
+        at, place = np.nonzero(np.isfinite(self.scores))
+        return pd.DataFrame({"query_id": self.q_ids[at], "item_id": self.ids[at, place], "score": self.scores[at, place]})
+
+
 def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
     """The k best corpus rows per query of one block; ties go to the smaller id."""
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    out = []
-    for start in range(0, len(q_ids), 256):
-        ids = q_ids[start : start + 256]
-        scores = q[start : start + 256] @ c.T
-        if skip_self:
-            scores[ids[:, None] == c_ids[None, :]] = -np.inf
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(ids)), top.shape[1])
-        flat = top.ravel()
-        found = scores[rows, flat]
-        ok = np.isfinite(found)
-        out.append(pd.DataFrame({"query_id": ids[rows][ok], "item_id": c_ids[flat][ok], "score": found[ok]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+    best = Best(q_ids, q, k, skip_self)
+    best.offer(c_ids, c)
+    return best.rows()
 
 
 def top_k(
@@ -54,7 +89,8 @@ def top_k(
 
     Each task scores blocks as a matrix product and passes on only its k best per query, so what is shuffled is k rows
     per query and task. Up to `bound` queries travel to the corpus; beyond that corpus and queries are cut into
-    blocks that meet on a block key, so no task holds more than one block of each.
+    strips that meet on a strip key, so no task holds more than one strip of each. A strip has up to `block` or
+    `BLOCK_ROWS` rows, whichever is more: every row is shuffled once per strip of the other side, so short blocks do not multiply what is moved.
     """
     q = queries.select(F.col(q_id).cast("long").alias("query_id"), F.col(q_vec).alias("v"))
     c = corpus.select(F.col(c_id).cast("long").alias("item_id"), F.col(c_vec).alias("v"))
@@ -77,21 +113,26 @@ def _scan(corpus: DataFrame, queries: pd.DataFrame, k: int, skip_self: bool) ->
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, m = shared.value
-        held = None
+        if not len(ids):
+            return
+        best = Best(ids, m, k, skip_self)
         for part in batches:
-            if len(part) and len(ids):
-                new = _best(ids, m, part["item_id"].to_numpy(dtype=np.int64), _matrix(part["v"]), k, skip_self)
-                both = new if held is None else pd.concat([held, new])
-                held = both.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if held is not None:
-            yield held
+            if len(part):
+                best.offer(part["item_id"].to_numpy(dtype=np.int64), _matrix(part["v"]))
+        yield best.rows()
 
     return corpus.mapInPandas(scan, _HITS)
 
 
 def _grid(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, block: int) -> DataFrame:
-    n_c = max(1, -(-corpus.count() // block))
-    n_q = max(1, -(-queries.count() // block))
+    counts, cores = (queries.count(), corpus.count()), corpus.sparkSession.sparkContext.defaultParallelism
+
+    def strips(rows: int) -> int:
+        # As few strips as fit, but enough of them to occupy all cores.
+        return max(1, -(-rows // max(block, BLOCK_ROWS)), min(math.isqrt(4 * cores), -(-rows // min(block, TILE_ROWS))))
+
+    n_q, n_c = strips(counts[0]), strips(counts[1])
+    parts = min(n_q * n_c, 4 * max(cores, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     c = corpus.withColumn("cb", F.pmod(F.xxhash64("item_id"), F.lit(n_c)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
     )
@@ -107,6 +148,8 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool, block:
             right["item_id"].to_numpy(dtype=np.int64), _matrix(right["v"]), k, skip_self,
         )
 
+    # The number of parts is given: small strips with much work must not be put together in one task.
+    q, c = q.repartition(parts, "qb", "cb"), c.repartition(parts, "qb", "cb")
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, _HITS)
 
 

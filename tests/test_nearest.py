@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from qaforge.operators import nearest as N
+from qaforge.operators import retrieval as RT
 from qaforge.operators.retrieval import top_k
 
 
@@ -70,3 +71,22 @@ def test_small_and_empty(spark, corpus, tmp_path):
     one = N.build_index(frame(spark, [1, 2], [[1, 0], [0, 1]], "item_id"), f"{tmp_path}/one")
     assert rows(N.search_index(one, frame(spark, [7, 8], [[1, 0], [0, 3]], "query_id"), 1)) == [(7, 1, 1, 1.0), (8, 1, 2, 1.0)]
     assert N.search_index(one, frame(spark, [], [], "query_id")).count() == 0
+
+
+def test_best_rows_of_tiles(spark):
+    """Several tiles, equal scores, repeated ids and queries that look past themselves, against a whole sort; then the strips, which stay apart and move each row a few times."""
+    r = np.random.default_rng(9)
+    c = np.round(r.normal(size=(5000, 3)))
+    q, c_ids, q_ids = c[:300], r.integers(0, 4000, 5000), np.arange(300)
+    for skip in (False, True):
+        scores = q @ c.T
+        if skip:
+            scores[q_ids[:, None] == c_ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(c_ids, scores.shape), -scores), axis=1)[:, :4]
+        best = RT.Best(q_ids, q, 4, skip)
+        for i in range(0, 5000, 1700):
+            best.offer(c_ids[i : i + 1700], c[i : i + 1700])
+        assert (best.ids == c_ids[order]).all() and (best.scores == np.take_along_axis(scores, order, axis=1)).all()
+    rows_ = frame(spark, range(5000), c, "item_id")
+    grid = RT._grid(rows_.select(rows_.item_id.alias("query_id"), rows_.embedding.alias("v")), rows_.select("item_id", rows_.embedding.alias("v")), 2, False, 50)
+    assert grid.rdd.getNumPartitions() >= 16
