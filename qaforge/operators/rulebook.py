@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from qaforge.session import cut_lineage
 
 BLOCK_BYTES = 16 << 20  # keywords and their entries in one automaton
-ENTRY_BYTES = 64  # what a keyword takes besides its text
+ENTRY_BYTES, LABEL_BYTES = 64, 8  # what a keyword takes besides its text, and each of its labels
 RULES = "rule_set string, ord int, label string, keyword string"
 
 FOUND = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("hits", T.IntegerType())]))
@@ -32,10 +32,10 @@ FOUND = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructF
 
 @dataclass(frozen=True)
 class RuleBook:
-    """`labels`: (rule_set, label) by number, in order of preference within a set; `blocks`: (keyword, label number) tables."""
+    """`labels`: (rule_set, label) by number, in order of preference within a set; `blocks`: tables of keywords with their label numbers."""
 
     labels: list[tuple[str, str]]
-    blocks: list[list[tuple[str, int]]] = field(repr=False)
+    blocks: list[list[tuple[str, list[int]]]] = field(repr=False)
 
 
 def rule_table(spark: SparkSession, sets: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
@@ -48,30 +48,30 @@ def compile_rules(rules: DataFrame, limit: int = BLOCK_BYTES, most: int = 64) ->
     """Number the labels and cut the keywords into blocks; a table of more than `most` blocks is refused."""
     known = rules.select("rule_set", "label", F.col("ord").cast("long").alias("ord"), F.lower("keyword").alias("keyword")).filter(
         "rule_set is not null and label is not null and keyword <> ''")
-    words = known.groupBy("rule_set", "label", "keyword").agg(F.min("ord").alias("ord"))
-    size = words.agg(F.coalesce(F.sum(F.octet_length("keyword") + F.octet_length("label") + ENTRY_BYTES), F.lit(0)).alias("bytes")).first()["bytes"]
+    words = cut_lineage(known.groupBy("rule_set", "label", "keyword").agg(F.min("ord").alias("ord")))
+    # A keyword is sent once with the numbers of its labels, however many rows of the table have it.
+    room = F.octet_length("keyword") + ENTRY_BYTES + LABEL_BYTES * F.col("n")
+    size = words.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(room), F.lit(0)).alias("bytes")).first()["bytes"]
     if size > limit * most:
         raise ValueError(f"{size} bytes of rules do not fit {most} blocks of {limit}: raise either, or divide the rule sets")
     ranks = {(r["rule_set"], r["label"]): r["ord"] for r in words.groupBy("rule_set", "label").agg(F.min("ord").alias("ord")).collect()}
     labels = sorted(ranks, key=lambda x: (x[0], ranks[x] is None, ranks[x] or 0, x[1]))
-    number = {x: i for i, x in enumerate(labels)}
+    numbers = rules.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(labels)], "rule_set string, label string, number int")
+    entries = words.join(F.broadcast(numbers), ["rule_set", "label"]).groupBy("keyword").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
     blocks, block, held = [], [], 0
-    for r in words.orderBy("keyword", "rule_set", "label").toLocalIterator():  # `size` bytes, checked
-        block.append((r["keyword"], number[r["rule_set"], r["label"]]))
-        held += len(r["keyword"].encode()) + len(r["label"].encode()) + ENTRY_BYTES
+    for r in entries.orderBy("keyword").toLocalIterator():  # `size` bytes, checked
+        block.append((r["keyword"], r["numbers"]))
+        held += len(r["keyword"].encode()) + ENTRY_BYTES + LABEL_BYTES * len(r["numbers"])
         if held >= limit:
             blocks.append(block)
             block, held = [], 0
     return RuleBook(labels, [*blocks, block] if block else blocks)
 
 
-def automaton(block: Iterable[tuple[str, int]]) -> ahocorasick.Automaton:
+def automaton(block: Iterable[tuple[str, list[int]]]) -> ahocorasick.Automaton:
     """Automaton whose entries are (keyword's number, its length, its label numbers)."""
-    entries: dict[str, list[int]] = {}
-    for word, label in block:
-        entries.setdefault(word, []).append(label)
     found = ahocorasick.Automaton()
-    for i, (word, labels) in enumerate(entries.items()):
+    for i, (word, labels) in enumerate(block):
         found.add_word(word, (i, len(word), labels))
     found.make_automaton()
     return found
@@ -101,7 +101,7 @@ def keyword_hits(df: DataFrame, book: RuleBook, text: str = "text", counted: boo
     return rows
 
 
-def _add_hits(rows: DataFrame, block: list[tuple[str, int]], text: str, counted: bool, out: str) -> DataFrame:
+def _add_hits(rows: DataFrame, block: list[tuple[str, list[int]]], text: str, counted: bool, out: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(block)
     kept = [c for c in rows.columns if c != out]
     given = rows.select(*[f"`{c}`" for c in kept], (F.col(out) if out in rows.columns else F.array().cast(FOUND)).alias("_was"), F.lower(F.col(f"`{text}`")).alias("_low"))

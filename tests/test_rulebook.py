@@ -91,3 +91,13 @@ def test_sentiment_keeps_every_row(spark, monkeypatch, rows):
         total = p + n + u
         want.append((i, *((round(n / total, 3), round(u / total, 3), round(p / total, 3)) if total else (0.0, 1.0, 0.0)), round(s / (s * s + 15) ** 0.5, 4)))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_keyword_of_many_labels_is_sent_once(spark):
+    """A table that grows by labels of the same keywords keeps its number of blocks nearly: a keyword takes its text once and a number per label."""
+    sets = {"s": {f"label number {i:02d}": [f"keyword{k}" for k in range(50)] for i in range(40)}}
+    book = RB.compile_rules(RB.rule_table(spark, sets), limit=10_000)
+    assert len(book.blocks) == 2
+    assert sorted(w for b in book.blocks for w, _ in b) == sorted(f"keyword{k}" for k in range(50))
+    df = spark.createDataFrame([("a keyword7 and keyword49",)], "text string")
+    assert [len(r["s"]) for r in RB.label_by_rules(df, book, mode="all").collect()] == [40]
