@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaforge.functions.common import SPACE, WS, has_any, let, lines, strip, texts, words
+from qaforge.functions.common import SPACE, UNEVEN, WS, has_any, let, lines, strip, texts, words
 from qaforge.rules import lexicons as R
 
 _QUESTION_STARTS = "|".join(s.replace(r"\s", WS) for s in R.QUESTION_STARTS)
@@ -22,7 +22,7 @@ QUESTION_IN_SENTENCE = (
 def clean_text(col: Column) -> Column:
     """Drop stray marks and reference brackets, squeeze white space."""
     out = F.regexp_replace(col, "[¶Â]|<\\[\\d+\\]", "")
-    out = F.regexp_replace(out, f"{WS}+", " ")
+    out = F.regexp_replace(out, UNEVEN, " ")
     # Only plain spaces are left as white space here.
     return F.trim(F.regexp_replace(out, r"\[[^\]\n]*\]", " "))
 
@@ -35,7 +35,7 @@ def clean_text_numbered(
     `compat` also strips a bare leading "q", which turns "Question" into "uestion".
     """
     out = F.regexp_replace(col, "[¶Â]|<\\[\\d+\\]", "")
-    out = F.regexp_replace(out, f"{WS}+", " ")
+    out = F.regexp_replace(out, UNEVEN, " ")
     if compat:
         out = F.regexp_replace(out, r"(?i)^q[ .:;\-)]*\d*\.? *", "")
     else:
@@ -66,9 +66,13 @@ def ascii_fold(col: Column) -> Column:
 def expand_contractions(col: Column, rules: Sequence[tuple[str, str]] = tuple(R.CONTRACTIONS)) -> Column:
     """Apply literal replacements one after the other."""
     table = F.array(*[F.struct(F.lit(a).alias("f"), F.lit(b).alias("t")) for a, b in rules])
-    replaced = F.aggregate(table, col, lambda acc, r: F.replace(acc, r["f"], r["t"]))
-    # Most texts hold none of the left-hand sides; one scan settles that.
-    return F.when(has_any(col, _shortest_cover(rules)), replaced).otherwise(col)
+
+    def expanded(text: Column) -> Column:
+        replaced = F.aggregate(table, text, lambda acc, r: F.replace(acc, r["f"], r["t"]))
+        # Most texts hold none of the left-hand sides; one scan settles that.
+        return F.when(has_any(text, _shortest_cover(rules)), replaced).otherwise(text)
+
+    return let(col, expanded)
 
 
 def _shortest_cover(rules: Sequence[tuple[str, str]]) -> list[str]:
@@ -82,7 +86,8 @@ def _shortest_cover(rules: Sequence[tuple[str, str]]) -> list[str]:
 
 
 def _is_question(s: Column) -> Column:
-    return s.rlike(QUESTION_IN_SENTENCE)
+    # Most sentences have no such mark; one short scan settles that.
+    return F.contains(s, F.lit("?")) & s.rlike(QUESTION_IN_SENTENCE)
 
 
 def cut_answer(answer: Column, question: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,13 @@ from qaforge.rules.lexicons import CONTRACTIONS
 from qaforge.operators.prompts import system_prompt_for_pair, to_chat_records
 
 
+def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Replace columns so that later filters on them do not compute them again: a filter is not moved below a generator."""
+    row = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_once")
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, row).select(*[F.col("_once")[c].alias(c) if c in columns else c for c in df.columns])
+
+
 def clean_pairs(
     pairs: DataFrame, keys: Sequence[str] = ("question",), order: Sequence[str] = ("rule_ord", "pos"), scope: Sequence[str] = ()
 ) -> DataFrame:
@@ -23,11 +30,11 @@ def clean_pairs(
 
     `keys` are compared in lower case; `scope` limits the comparison, e.g. to a page.
     """
-    clean = pairs.withColumns({c: T.clean_text_numbered(F.col(c), CONTRACTIONS) for c in ("question", "answer")})
+    clean = _once(pairs, {c: T.clean_text_numbered(F.col(c), CONTRACTIONS) for c in ("question", "answer")})
     long_enough = T.min_length(clean, q_min=5, a_min=5)
     key: list[Column] = [F.col(c) for c in scope] + [F.lower(F.col(c)) for c in keys]
     first = D.first_per_key(long_enough, key, [F.col(c) for c in order])
-    return first.withColumn("answer", T.cut_answer(F.col("answer"), F.col("question")))
+    return _once(first, {"answer": T.cut_answer(F.col("answer"), F.col("question"))})
 
 
 def site_corpus(
