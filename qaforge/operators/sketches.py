@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 WORDS = 4
 KEYS_PER_BLOCK = 12  # 256 bits: about 21 a key, one false hit in some hundred
-FILTER_BYTES = 64 << 20  # a filter of the batch's doubtful keys is broadcast up to this size
+FILTER_BYTES = 64 << 20  # a filter is broadcast up to this size
+KEYS_PER_TASK = 500_000  # a task of the exact anti join holds about so many keys of the store
 LG_K = 14
 
 
@@ -48,10 +49,18 @@ def merged_filters(filters: Sequence[DataFrame]) -> DataFrame:
     return every.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def maybe_in(df: DataFrame, key: str, found: DataFrame, blocks: int, out: str = "maybe") -> DataFrame:
-    """Add whether a row's key may be in the filter; false is certain. Rows meet the filter's blocks, never its store."""
+def filter_bytes(blocks: int) -> int:
+    return blocks * 8 * (WORDS + 1)
+
+
+def maybe_in(df: DataFrame, key: str, found: DataFrame, blocks: int, out: str = "maybe", limit: int = FILTER_BYTES) -> DataFrame:
+    """Add whether a row's key may be in the filter; false is certain. Rows meet the filter's blocks, never its store.
+
+    A filter of up to `limit` bytes is broadcast. A larger one is shuffled, and a task holds its share of the blocks and lets the rows pass; no row is sorted.
+    """
     k = F.col(key)
     held = found.select(F.col("block").alias("_block"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS)])
+    held = F.broadcast(held) if filter_bytes(blocks) <= limit else held.hint("shuffle_hash")
     met = df.withColumn("_block", F.when(k.isNotNull(), _place(k, blocks))).join(held, "_block", "left")
     test = reduce(lambda x, y: x & y, [F.col(f"_w{i}").bitwiseAND(w) != 0 for i, w in enumerate(_bits(k))])
     return met.withColumn(out, F.coalesce(test, F.lit(False))).select(*df.columns, out)
@@ -61,16 +70,20 @@ def skip_stored(rows: DataFrame, store: DataFrame, found: DataFrame, blocks: int
     """Rows whose key is not in the store, exactly, by way of the store's filter.
 
     Rows that the filter rules out are new and meet the store no more. For the others a filter of their own keys, broadcast up to `limit` bytes, is held
-    against the store where it is read, so only keys that may be among them are shuffled for the exact anti join.
+    against the store where it is read, so only keys that may be among them are shuffled for the exact anti join. A task of that join holds its share of
+    the store's keys, as many as `blocks` lets expect, and lets the rows pass, however many have one key.
     """
     names = rows.columns
-    judged = maybe_in(rows, key, found, blocks, "_maybe")
+    judged = maybe_in(rows, key, found, blocks, "_maybe", limit)
     doubtful = judged.filter("_maybe").select(names)
-    asked = blocks_for(doubtful.count())
+    n = doubtful.count()
+    asked = blocks_for(n)
     keys = store.select(F.col(key))
-    if asked * 8 * (WORDS + 1) <= limit:
-        keys = maybe_in(keys, key, F.broadcast(bloom_filter(doubtful, key, asked)), asked, "_asked").filter("_asked").select(key)
-    rest = doubtful.join(keys.distinct(), key, "left_anti").select(names)
+    if filter_bytes(asked) <= limit:
+        keys = maybe_in(keys, key, bloom_filter(doubtful, key, asked), asked, "_asked", limit).filter("_asked").select(key)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-max(n, blocks * KEYS_PER_BLOCK) // KEYS_PER_TASK))
+    # The rows follow the keys' parts; dealt out by hand, they would be dealt a second time, after the join.
+    rest = doubtful.join(keys.distinct().repartition(parts, key).hint("shuffle_hash"), key, "left_anti").select(names)
     return judged.filter("not _maybe").select(names).unionByName(rest)
 
 

@@ -1,5 +1,8 @@
 """Bloom filters and distinct sketches."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from qaforge.operators import sketches as S
@@ -41,6 +44,28 @@ def test_store_is_not_shuffled_for_other_keys(spark):
     assert [r.url for r in S.skip_stored(rows, store, S.bloom_filter(store, "url", blocks), blocks).collect()] == [200_000]
 
 
+@pytest.mark.parametrize("limit", [S.FILTER_BYTES, 0])
+def test_no_row_is_sorted_to_meet_filter_or_store(spark, monkeypatch, limit):
+    """A task holds its share of the filter and of the store's keys, and lets the rows pass, also when one key has most of them."""
+    monkeypatch.setattr(S, "KEYS_PER_TASK", 1_000, raising=False)
+    n = 30_000
+    store = spark.range(n).selectExpr("'k' || if(id < 20000, id, 7) AS url").unionByName(spark.sql("SELECT cast(null AS string) AS url"))
+    rows = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 'k5' WHEN id % 3 = 1 THEN 'new' WHEN id % 100 > 0 THEN 'k' || (id + 10000) END AS url", "id")
+    kept = "url = 'new' OR url IS NULL OR cast(substr(url, 2) AS long) >= 20000"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        blocks = S.blocks_for(n)
+        got = S.skip_stored(rows, store, S.bloom_filter(store, "url", blocks), blocks, limit=limit)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.filter(kept).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    # Both sides of the anti join come in parts of so many keys; a filter up to the limit moves no row.
+    assert len(re.findall(r"hashpartitioning\(url#\d+, 30\)", plan)) == 2
+    assert ("hashpartitioning(_block" in plan) == (limit == 0)
+
+
 def test_sketches_merge(spark):
     df = spark.range(100_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 40_000).alias("x"), F.when(F.col("id") % 2 == 0, F.lit("even")).alias("y"))
     parts = [S.distinct_sketches(df.filter(f"x % 4 = {i}"), ["x", "y"], ["g"]) for i in range(4)]
